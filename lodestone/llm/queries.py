@@ -16,6 +16,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.imatch import fingerprint_with_edits
+
+    return fingerprint_with_edits(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
