@@ -22,6 +22,14 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.sstable import digests, write_token_tables
+
+    return digests(write_token_tables(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.imatch import fingerprint_with_edits
 
