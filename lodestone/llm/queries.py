@@ -9,6 +9,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.html_extract import extract_main_text
+
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality import score_quality
 
