@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,9 +196,12 @@ def train(texts: pa.Array, low: np.ndarray, bits: int = BITS, rounds: int = 60,
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> tuple[pa.Array, np.ndarray]:
     """At most max_rows labelled texts, half of them of low quality where there are enough, by a hash of the id."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_q")).filter("_id is not null and _q is not null").groupBy("_id").agg(F.min("_q").alias("_q"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter("_t is not null").join(known, "_id")
-    rows = rows.withColumn("_h", F.xxhash64(F.col("_id").cast("string"), F.lit(5)))
-    got = [rows.filter(F.col("_q") == 0 if low else F.col("_q") != 0).orderBy("_h", "_t").limit(max_rows // 2).select("_h", "_t").toArrow() for low in (True, False)]
+    known = known.withColumn("_h", F.xxhash64(F.col("_id").cast("string"), F.lit(5)))
+    picked = [known.filter("_q = 0" if low else "_q <> 0").orderBy("_h").limit(max_rows // 2) for low in (True, False)]
+    # The picked ids are max_rows at most, so that they are broadcast and no text is shuffled.
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter("_t is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "_id")
+    sample = rows.orderBy("_h", "_t").limit(max_rows).select("_h", "_t", "_q").toArrow()
+    got = [sample.filter(pc.field("_q") == 0), sample.filter(pc.field("_q") != 0)]
     texts = pa.chunked_array([c for g in got for c in g["_t"].chunks] or [pa.array([], pa.string())], pa.string()).combine_chunks()
     low = np.repeat([True, False], [len(g) for g in got])
     order = np.argsort(np.concatenate([g["_h"].to_numpy() for g in got]).astype(np.int64), kind="stable")
