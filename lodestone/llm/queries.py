@@ -27,6 +27,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_read(spark, sf_dir, "documents"))
 
 
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.minhash_forest import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.mixing import mix_sources, taken_words
 
