@@ -69,12 +69,16 @@ def groups(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
 class Words:
     """Words of a group of texts: starts, ends (byte positions), text number, and words per text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None):
+        """cuts: a mask of bytes inside words before which a word is cut in two."""
         self.data, self.offsets = data, offsets
         inside = ~WS[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
+        if cuts is not None and len(cuts):
+            first |= cuts
+            last[:-1] |= cuts[1:]
         edge = offsets[:-1][offsets[:-1] < offsets[1:]]
         first[edge] = inside[edge]
         edge = offsets[1:][offsets[:-1] < offsets[1:]] - 1

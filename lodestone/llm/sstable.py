@@ -31,10 +31,12 @@ an empty table gives no shard and no rows; other columns are not read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +47,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.shared import new_path, table
-from lodestone.llm.spans import Words, batches
+from lodestone.llm.spans import LOWER, Words, batches
 
 MAGIC = b"LODESST1"
 BLOCK_BYTES = 1 << 16
 SHARD_BYTES = 24 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 6
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 2_000_000
 
 
 def varint(n: int) -> bytes:
@@ -215,51 +217,86 @@ class Reader:
         return out
 
 
+#: The one word pattern under which letters and punctuation never share a token.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_PUNCTUATION[ord("'")] = False  # it may open a contraction
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def punctuation_cuts(data: np.ndarray) -> np.ndarray:
+    """Bytes where a letter (ASCII or Latin-1) and ASCII punctuation other than an apostrophe meet."""
+    letter_ends = _LETTER[data]
+    letter_starts = letter_ends.copy()
+    if len(data) > 1:
+        latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        letter_ends[1:] |= latin
+        letter_starts[:-1] |= latin
+    mark = _PUNCTUATION[data]
+    out = np.zeros(len(data), bool)
+    out[1:] = (letter_ends[:-1] & mark[1:]) | (mark[:-1] & letter_starts[1:])
+    return out
+
+
 class WordEncoder:
-    """Token ids of texts through a tokenizers model that never joins tokens across ASCII white space: each distinct word is encoded once while it stays in a bounded cache."""
+    """Token ids of texts, each distinct word encoded once while it stays in a bounded cache.
+
+    For models that lower-case and whose tokens cross neither ASCII white space
+    nor the border between letters and punctuation, as `lowers` says; for others
+    words are cut at white space alone.  A group of texts with the beginning of
+    a special token's string is not cut or lower-cased either.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model, self.limit = Tokenizer.from_file(path), cache_words
+        plan = json.loads(self.model.to_str())
+        steps = [x.get("type") for x in (plan.get("normalizer") or {}).get("normalizers", [])]
+        pattern = next((x["pattern"].get("Regex", "") for x in (plan.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"), "")
+        self.lowers = "Lowercase" in steps and pattern == WORD_PATTERN
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        # Sorted hashes of the known words, and where their ids lie.
+        self.hashes, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         got = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        n = np.array([len(g) for g in got], np.int64)
-        flat = np.array([i for g in got for i in g], np.uint32)
-        k = len(self.known)
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(n) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[k : k + len(n)] = self.used + np.cumsum(n) - n
-        self.lengths[k : k + len(n)] = n
-        self.known.update(zip(hashes, range(k, k + len(n)), strict=True))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(n) - n)
+        self.lengths = np.insert(self.lengths, at, n)
         self.used += len(flat)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a group of texts, and each text's bounds among them."""
-        words = Words(data, offsets)
+        if self.lowers and b"<|" not in data.tobytes():
+            words = Words(LOWER[data], offsets, punctuation_cuts(data))
+        else:
+            words = Words(data, offsets)
         uniq, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > self.limit:
+        if len(self.hashes) + len(uniq) > self.limit:
             self._reset()
-        keys = uniq.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
-            self._learn([keys[i] for i in new], [words.word(first[i]).decode() for i in new])
-        at = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[inverse]
-        n = self.lengths[at]
+        at = np.searchsorted(self.hashes, uniq)
+        new = np.flatnonzero((at == len(self.hashes)) | (np.append(self.hashes, np.uint64(0))[at] != uniq))
+        if len(new):
+            raw = words.data.tobytes()
+            self._learn(uniq[new], [raw[a:b].decode() for a, b in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, uniq)
+        n = self.lengths[at][inverse].astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)]
+        ids = self.ids[np.repeat(self.starts[at][inverse] - (ends - n), n) + np.arange(total)]
         return ids, np.concatenate([[0], ends])[words.bounds]
 
 
