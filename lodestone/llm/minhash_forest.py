@@ -13,7 +13,10 @@ that was cut.  Candidates grow with the nodes, not with a region's square.
 Candidates whose 128 one-byte sketches agree less than `SKETCH_LEAST` (over four
 standard errors below the threshold) go.  Links are confirmed on the full sets:
 first each node's likeliest candidate, then all candidates whose ends are not
-connected yet.  Sets are computed from the texts again, for nodes in a candidate
+connected yet.  In regions with more nodes than a node has neighbours, the
+sketches of nodes outside the region's largest component are then compared with
+all its other components, in blocks, and the 8 likeliest pairs of each node, then
+the 64 likeliest, confirmed until no new link is found.  Sets are computed from the texts again, for nodes in a candidate
 pair only: a bitmap of fixed size, which any number of nodes may fill, lets a
 worker leave out the others.
 
@@ -117,8 +120,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, n_shingles long, node long, sig binary")
 
 
-def candidates(nodes: DataFrame, region_rows: int = REGION_ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Distinct pairs a < b of nodes that are neighbours in some order, or a node and its region's least."""
+def regions_of(nodes: DataFrame, region_rows: int = REGION_ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """node, region, n (its nodes), others (the node's candidates there), for each order in which the node has company."""
     rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
     rows = rows.select("node", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("vals"))
 
@@ -136,21 +139,32 @@ def candidates(nodes: DataFrame, region_rows: int = REGION_ROWS, neighbours: int
     rows = rows.join(wide, "k1", "left").join(middle, "k2", "left")
     region = F.when(F.col("hub1").isNull(), F.col("k1")).when(F.col("hub2").isNull(), F.col("k2")).otherwise(F.xxhash64("k3", F.pmod("node", "cuts")))
     rows = rows.select("node", "vals", "hub1", "hub2", region.alias("region"))
-    by = Window.partitionBy("region").orderBy("vals", "node")
+    by, whole = Window.partitionBy("region").orderBy("vals", "node"), Window.partitionBy("region")
     near = [F.lead("node", k).over(by) for k in range(1, neighbours + 1)]
-    rows = rows.select("node", F.array(F.min("node").over(Window.partitionBy("region")), "hub1", "hub2", *near).alias("others"))
-    pairs = rows.select("node", F.explode("others").alias("other")).filter("other is not null and other <> node")
+    rows = rows.select("node", "region", F.count(F.lit(1)).over(whole).alias("n"), F.array(F.min("node").over(whole), "hub1", "hub2", *near).alias("others"))
+    return table(rows.filter("n > 1 or others[1] is not null"), "forest-regions")
+
+
+def pairs_of(regions: DataFrame) -> DataFrame:
+    """The distinct candidates a < b."""
+    pairs = regions.select("node", F.explode("others").alias("other")).filter("other is not null and other <> node")
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, least: float = SKETCH_LEAST) -> DataFrame:
-    """Pairs whose sketches agree enough: a, b, agree (equal bytes, of TREES * DEPTH)."""
+def sketches(nodes: DataFrame) -> DataFrame:
+    """node, sketch: the last byte of each MinHash value."""
 
     def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), _binary(sig[:, 3::4])], ["node", "sketch"])
 
+    return nodes.mapInArrow(short, "node long, sketch binary")
+
+
+def likely(pairs: DataFrame, sketch: DataFrame, least: float = SKETCH_LEAST) -> DataFrame:
+    """Pairs whose sketches agree enough: a, b, agree (equal bytes, of TREES * DEPTH)."""
+
     def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), -1) for k in (2, 3))
@@ -158,16 +172,68 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float = SKETCH_LEAST) -> D
             keep = pa.array(n >= least * TREES * DEPTH)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int32))], ["a", "b", "agree"]).filter(keep)
 
-    sketch = nodes.mapInArrow(short, "node long, sketch binary")
     left = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
     right = sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(agree, "a long, b long, agree int")
 
 
-def _bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the pairs' nodes, in a map whose size doesn't depend on them."""
+def _cross(node: np.ndarray, comp: np.ndarray, sketch: np.ndarray, least: float, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """In one region: for each node outside its largest component, its `top` likeliest partners in other components."""
+    _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(comp != size.argmax())
+    ends = []
+    for block in np.array_split(outside, -(-len(outside) // 64)) if len(outside) else []:
+        same = (sketch[block][:, None, :] == sketch[None, :, :]).sum(2)
+        same[comp[block][:, None] == comp[None, :]] = -1
+        k = min(top, same.shape[1])
+        best = np.argpartition(-same, k - 1, axis=1)[:, :k]
+        good = np.take_along_axis(same, best, 1) >= least * sketch.shape[1]
+        ends.append(np.stack([np.repeat(node[block], k)[good.ravel()], node[best][good]]))
+    a, b = np.concatenate(ends, 1) if ends else np.zeros((2, 0), np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, least: float, top: int = 8) -> DataFrame:
+    """Likely pairs a < b across components, inside the regions that hold more nodes than a node has neighbours.
+
+    A region holds region_rows nodes at most, so that one task compares its
+    sketches in blocks; what it gives grows with the nodes.
+    """
+    rows = dense.join(comp, "node", "left").select("region", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = rows.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
+    rows = rows.join(mixed, "region").join(sketch, "node")
+    parts = max(1, dense.rdd.getNumPartitions())
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held)
+                sig = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1)
+                a, b = _cross(t["node"].to_numpy(), t["comp"].to_numpy(), sig, least, top)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        last = None
+        for batch in batches_:
+            region = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(region[1:] != region[:-1]) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(region)], strict=True):
+                if last is not None and region[i] != last:
+                    yield from flush()
+                held.append(batch.slice(i, j - i))
+                last = region[i]
+        yield from flush()
+
+    rows = rows.select("region", "node", "comp", "sketch").repartition(parts, "region").sortWithinPartitions("region")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _bitmap(ends: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the column `node`, in a map whose size doesn't depend on the rows."""
     place = F.shiftrightunsigned(F.col("node"), 64 - bits)
-    words = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - bits}) & 63 as int))")).alias("v")).toArrow()
+    words = ends.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - bits}) & 63 as int))")).alias("v")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
     return out
@@ -221,8 +287,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = SKETCH_LEAST - (85 - percent) / 100
     rows = table(signed(docs, id_col, text_col, shingle), "forest-rows")
     nodes = table(rows.filter("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "forest-nodes")
-    pairs = table(likely(candidates(nodes, region_rows), nodes, least), "forest-pairs")
-    sets = table(full_sets(docs, text_col, shingle, _bitmap(pairs, BITMAP_BITS)), "forest-sets")
+    sketch = sketches(nodes)
+    regions = regions_of(nodes, region_rows)
+    dense = regions.filter(F.col("n") > 2 * NEIGHBOURS + 1).select("region", "node")
+    pairs = table(likely(pairs_of(regions), sketch, least), "forest-pairs")
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node"))
+    sets = table(full_sets(docs, text_col, shingle, _bitmap(compared, BITMAP_BITS)), "forest-sets")
     # The likeliest candidate of each node first; it connects most of what is connected at all.
     ends = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select("b", "a", "b", "agree"))
     best = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
@@ -231,7 +301,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = rest.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     rest = table(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "forest-rest")
-    comp = components(links.union(confirmed(rest, sets, percent)))
+    links = links.union(table(confirmed(rest, sets, percent), "forest-links"))
+    comp = components(links)
+    # In dense regions neighbours are few of all; look further between components until that finds nothing.
+    tops, tried = [8, 64], None
+    while tops and not dense.isEmpty():
+        more = crossing(dense, comp, sketch, least, tops[0])
+        more = table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "forest-crossing")
+        tried = more if tried is None else tried.union(more)
+        found = table(confirmed(more, sets, percent), "forest-links")
+        if found.isEmpty():
+            tops.pop(0)
+        else:
+            links = links.union(found)
+            comp = components(links)
     placed = rows.select("_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_id = placed.filter("comp is not null").groupBy("comp").agg(F.min("_id").alias("least_id"))
     out = placed.join(least_id, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("least_id")))
