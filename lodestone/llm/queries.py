@@ -40,6 +40,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.maxent_lm import score_texts
+
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
