@@ -15,6 +15,14 @@ def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_read(spark, sf_dir, "pages"))
 
 
+def op2_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.piece_sampling import encode_sampled
+
+    return encode_sampled(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality import score_quality
 
