@@ -111,19 +111,31 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_INVERSE = np.ones(1, np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """The first n powers of the hash base's inverse, modulo 2**64."""
+    global _INVERSE
+    if len(_INVERSE) < n:
+        p = np.full(max(n, 2 * len(_INVERSE), 1024), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+        p[0] = 1
+        _INVERSE = np.multiply.accumulate(p)
+    return _INVERSE[:n]
+
+
 class Rolling:
-    """Hashes of any span of a byte array, from prefix sums modulo 2**64."""
+    """Hashes of spans of one width anywhere in a byte array, from prefix sums modulo 2**64; equal spans of any arrays hash alike."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.up = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_RANDOM[data] * self.up[:n], out=self.sums[1:])
-        self.n = n
+        np.cumsum(_RANDOM[data] * powers(n), out=self.sums[1:])
+        self.back = inverse_powers(n + 1)
 
     def windows(self, at: np.ndarray, width: int) -> np.ndarray:
-        """Hashes of the spans [at, at + width), brought to one power of the base."""
-        return mix((self.sums[at + width] - self.sums[at]) * self.up[self.n - at])
+        """Hashes of the spans [at, at + width)."""
+        return mix((self.sums[at + width] - self.sums[at]) * self.back[at])
 
 
 def chained(hashes: np.ndarray, n: int) -> np.ndarray:
