@@ -50,6 +50,8 @@ SHINGLE, THRESHOLD = 5, 80
 REGION_ROWS = 4096
 SKETCH_LEAST = 0.72
 BITMAP_BITS = 27
+#: Bytes of an Arrow batch of texts or sets.
+BATCH = 8 << 20
 
 _RNG = np.random.default_rng(77)
 _MUL = (_RNG.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -285,23 +287,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD, region_rows: int = REGION_ROWS) -> DataFrame:
     """One row a document: id, n_shingles, component_id, kept (the id is its component's)."""
     least = SKETCH_LEAST - (85 - percent) / 100
-    rows = table(signed(docs, id_col, text_col, shingle), "forest-rows")
+    rows = table(signed(docs, id_col, text_col, shingle), "forest-rows", BATCH)
     nodes = table(rows.filter("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "forest-nodes")
     sketch = sketches(nodes)
     regions = regions_of(nodes, region_rows)
     dense = regions.filter(F.col("n") > 2 * NEIGHBOURS + 1).select("region", "node")
     pairs = table(likely(pairs_of(regions), sketch, least), "forest-pairs")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node"))
-    sets = table(full_sets(docs, text_col, shingle, _bitmap(compared, BITMAP_BITS)), "forest-sets")
+    sets = table(full_sets(docs, text_col, shingle, _bitmap(compared, BITMAP_BITS)), "forest-sets", BATCH)
     # The likeliest candidate of each node first; it connects most of what is connected at all.
     ends = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select("b", "a", "b", "agree"))
     best = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = table(confirmed(best, sets, percent), "forest-links")
+    links = table(confirmed(best, sets, percent), "forest-links", BATCH)
     comp = components(links)
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = rest.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     rest = table(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "forest-rest")
-    links = links.union(table(confirmed(rest, sets, percent), "forest-links"))
+    links = links.union(table(confirmed(rest, sets, percent), "forest-links", BATCH))
     comp = components(links)
     # In dense regions neighbours are few of all; look further between components until that finds nothing.
     tops, tried = [8, 64], None
@@ -309,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = crossing(dense, comp, sketch, least, tops[0])
         more = table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "forest-crossing")
         tried = more if tried is None else tried.union(more)
-        found = table(confirmed(more, sets, percent), "forest-links")
+        found = table(confirmed(more, sets, percent), "forest-links", BATCH)
         if found.isEmpty():
             tops.pop(0)
         else:

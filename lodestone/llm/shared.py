@@ -48,11 +48,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: a cut in the lineage that any executor can read."""
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def table(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: a cut in the lineage that any executor can read.
+
+    batch_bytes bounds the Arrow batches that go to Python meanwhile.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH_BYTES)
+    if batch_bytes:
+        spark.conf.set(BATCH_BYTES, str(batch_bytes))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out
