@@ -25,8 +25,10 @@ one name a group.  Exact copies are taken out before: a copy of an earlier text
 goes as a whole, if it is long enough.  Rows whose text occurs once, as a bitmap
 of fixed size tells, are shuffled once only.
 
-Names are 64-bit hashes (shared-tuple names fewer, where a clash costs time
-only); two different strings clash with a chance of about n * n / 2 ** 65.
+Names are hashes.  Those of tuples are cut to the bits that tell most of them
+apart, as a clash costs time only.  Those of n strings have two more than twice the bits that
+count the bytes of all texts, 64 at most: the chance that any two clash is at
+most one half up to 4 GB of shared text, and grows from there as n * n / 2 ** 65.
 
 Defined results: null is the empty text; texts under `LENGTH` bytes lose
 nothing; null ids come after all others; rows that repeat an id are not earlier
@@ -52,31 +54,37 @@ from lodestone.llm.spans import Rolling, as_bytes, groups
 LENGTH = 50
 #: A perfect difference set: every shift modulo 21 is the difference of two of its members.
 CYCLE, COVER = 21, (3, 6, 7, 12, 14)
-GROUP_BYTES = 8 << 20
-BUCKET_NAMES = 4 << 20
+GROUP_BYTES = 4 << 20
+BUCKET_NAMES = 2 << 20
+#: Texts are hashed in parts of about so many bytes.
+PART_BYTES = 1 << 20
 BITMAP_BITS = 24
 LAST = (1 << 63) - 1
 
 
 def pack(names: np.ndarray) -> bytes:
     """Sorted distinct 64-bit names, as differences of as few bytes as the largest needs."""
-    d = np.diff(names, prepend=np.uint64(0))
+    first = names[:1].astype("<u8").tobytes()
+    d = np.diff(names, prepend=names[:1])
     width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([width]) + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width]) + first + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     width = data[0]
-    body = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    if len(data) == 1:
+        return np.zeros(0, np.uint64)
+    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
     full = np.zeros((len(body), 8), np.uint8)
     full[:, :width] = body
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
+    return np.frombuffer(data, "<u8", 1, 1) + np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
 
 
 class Group:
     """Texts of one group: their sampled names, and the places whose string may be shared."""
 
-    def __init__(self, texts: pa.ChunkedArray | pa.Array, least_ids: np.ndarray, name_bits: int):
+    def __init__(self, texts: pa.ChunkedArray | pa.Array, least_ids: np.ndarray, name_bits: int, string_bits: int):
+        self.string_bits = string_bits
         self.data, self.offsets = as_bytes(texts)
         self.least = least_ids
         self.n = len(least_ids)
@@ -84,7 +92,7 @@ class Group:
         at, names = [], []
         cover = np.zeros(CYCLE, bool)
         cover[list(COVER)] = True
-        for i, j in groups(self.offsets):
+        for i, j in groups(self.offsets, PART_BYTES):
             lo, hi = self.offsets[i], self.offsets[j]
             local = np.arange(lo, hi) - np.repeat(self.offsets[i:j], np.diff(self.offsets[i : j + 1]))
             left = np.repeat(self.offsets[i + 1 : j + 1], np.diff(self.offsets[i : j + 1])) - np.arange(lo, hi)
@@ -113,10 +121,10 @@ class Group:
         places = np.flatnonzero(np.cumsum(reach)[:-1] > 0)
         places = places[places + LENGTH <= self.offsets[self.text_of(places) + 1]]
         names = np.empty(len(places), np.uint64)
-        for i, j in groups(self.offsets):
+        for i, j in groups(self.offsets, PART_BYTES):
             a, b = np.searchsorted(places, [self.offsets[i], self.offsets[j]])
             if b > a:
-                names[a:b] = Rolling(self.data[self.offsets[i] : self.offsets[j]]).windows(places[a:b] - self.offsets[i], LENGTH)
+                names[a:b] = Rolling(self.data[self.offsets[i] : self.offsets[j]]).windows(places[a:b] - self.offsets[i], LENGTH) >> np.uint64(64 - self.string_bits)
         self.places = places
         self.strings, self.string_of = np.unique(names, return_inverse=True)
         return self.strings, places
@@ -224,20 +232,21 @@ def judged_texts(rows: DataFrame, with_text: bool = False, group_bytes: int = GR
     texts, _, total = distinct_texts(rows, group_bytes)
     n_names = max(1, total * len(COVER) // CYCLE)
     bucket_bits = max(0, math.ceil(math.log2(max(1, n_names / bucket_names))))
-    name_bits = min(64, max(bucket_bits, math.ceil(math.log2(n_names + 1)) + 12))
+    name_bits = min(64, max(bucket_bits, math.ceil(math.log2(n_names + 1)) + 11))
+    string_bits = min(64, max(bucket_bits, 2 * math.ceil(math.log2(total + 2)) + 2))
 
     def load(t: pa.Table) -> Group:
-        return Group(t["text"], t["least"].to_numpy(), name_bits)
+        return Group(t["text"], t["least"].to_numpy(), name_bits, string_bits)
 
     def sample(t: pa.Table) -> pa.Table:
         return _blobs(t["grp"][0].as_py(), load(t).names, name_bits, bucket_bits)
 
     def strings(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
-            return _blobs(0, np.zeros(0, np.uint64), 64, bucket_bits)
+            return _blobs(0, np.zeros(0, np.uint64), string_bits, bucket_bits)
         g = load(t)
         g.candidates(_told(told, g.names, name_bits, bucket_bits))
-        return _blobs(t["grp"][0].as_py(), g.strings, 64, bucket_bits)
+        return _blobs(t["grp"][0].as_py(), g.strings, string_bits, bucket_bits)
 
     def judge(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
@@ -245,7 +254,7 @@ def judged_texts(rows: DataFrame, with_text: bool = False, group_bytes: int = GR
         g = load(t)
         level = told["level"].to_numpy()
         g.candidates(_told(told.filter(pa.array(level == 0)), g.names, name_bits, bucket_bits))
-        return finish(t, g, g.removed(_told(told.filter(pa.array(level == 1)), g.strings, 64, bucket_bits)))
+        return finish(t, g, g.removed(_told(told.filter(pa.array(level == 1)), g.strings, string_bits, bucket_bits)))
 
     finish = _finisher(with_text)
     blob = "bucket int, grp int, blob binary"
