@@ -24,12 +24,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.spans import as_bytes, batches
+from lodestone.llm.spans import as_bytes, batches, groups
 
 MAX_BYTES, MAX_DOCS = 32_000, 64
 LANE = 512
@@ -186,18 +187,38 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
         p = parser(frozen)
         for batch in parts:
             for part, data, offsets in batches(batch, "_t", 1 << 22):
-                known = has_letter(data, offsets, part.column(1))
-                lang, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
-                if p.langs and known.any():
-                    rate = p.rates(*normalised(data, offsets))
-                    weight = np.exp2(-(rate - rate.min(1, keepdims=True)) * evidence)
-                    lang[known] = np.array(p.langs, object)[rate.argmin(1)[known]]
-                    score[known] = (1 / weight.sum(1))[known]
+                lang, score = _predict(p, data, offsets, part.column(1), evidence)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def language_of(samples: dict[str, bytes], evidence: int = EVIDENCE):
+    """A column function of a text: a struct of lang_pred and score, as identify() gives them."""
+    frozen = tuple(sorted(samples.items()))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        column = pa.array(texts, pa.string(), from_pandas=True)
+        data, offsets = as_bytes(column)
+        out = [_predict(parser(frozen), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], column[i:j], evidence) for i, j in groups(offsets, 1 << 22)]
+        lang, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, object), np.zeros(0))
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    return udf
+
+
+def _predict(p: Parser, data: np.ndarray, offsets: np.ndarray, texts: pa.Array, evidence: int) -> tuple[np.ndarray, np.ndarray]:
+    known = has_letter(data, offsets, texts)
+    lang, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
+    if p.langs and known.any():
+        rate = p.rates(*normalised(data, offsets))
+        weight = np.exp2(-(rate - rate.min(1, keepdims=True)) * evidence)
+        lang[known] = np.array(p.langs, object)[rate.argmin(1)[known]]
+        score[known] = (1 / weight.sum(1))[known]
+    return lang, score
+
+
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
     """id, held_out, lang_pred, score: learned from rows whose crc32 of the id leaves another remainder than `held`."""
     samples = learn_samples(docs, id_col, text_col, lang_col, fold(F.col(id_col), folds) != held)

@@ -89,15 +89,16 @@ class Mix:
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
     total_share: float = TOTAL_SHARE, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = SEED, bucket_rows: int = 100_000,
-    max_sources: int = 1_000_000,
+    max_sources: int = 1_000_000, uid_col: str | None = None,
 ) -> Mix:
     """The mix of `docs`. Weights repeat over the sources in code point order.
 
     One row a source is held on the driver; more than max_sources raise ValueError.
+    uid_col names a column of distinct longs, where the caller has one.
     """
     spark = docs.sparkSession
     rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        (F.col(uid_col) if uid_col else F.monotonically_increasing_id()).alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         F.col(id_col).cast("string").alias("_k"),
     )
     rows = table(rows.select("uid", "doc_id", "source", "size", F.xxhash64("_k", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)).alias("h")), "mix-sizes")

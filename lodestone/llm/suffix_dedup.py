@@ -228,7 +228,7 @@ def distinct_texts(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, int, i
 
 
 def judged_texts(rows: DataFrame, with_text: bool = False, group_bytes: int = GROUP_BYTES, bucket_names: int = BUCKET_NAMES) -> DataFrame:
-    """h1, h2, least, n_bytes, n_removed, n_spans, kept_sha256 of each distinct text, and, if asked, what is kept of it."""
+    """h1, h2, least, n_bytes, n_removed, n_spans, kept_sha256 of each distinct text, and, if asked, what is kept of those that lose bytes."""
     texts, _, total = distinct_texts(rows, group_bytes)
     n_names = max(1, total * len(COVER) // CYCLE)
     bucket_bits = max(0, math.ceil(math.log2(max(1, n_names / bucket_names))))
@@ -276,7 +276,7 @@ def _finisher(with_text: bool) -> Callable[..., pa.Table]:
             lost.append(int(m.sum()))
             spans.append(int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()))
             sha.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest.decode("utf-8", "ignore"))
+            kept.append(rest.decode("utf-8", "ignore") if with_text and lost[-1] else None)
         out = {**{c: t[c].cast(pa.int64()) for c in ("h1", "h2", "least")}, "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         return pa.table(out | ({"kept": pa.array(kept, pa.string())} if with_text else {}))
 
