@@ -12,11 +12,11 @@ that was cut.  Candidates grow with the nodes, not with a region's square.
 
 Candidates whose 128 one-byte sketches agree less than `SKETCH_LEAST` (over four
 standard errors below the threshold) go.  Links are confirmed on the full sets:
-first each node's likeliest candidate, then all candidates whose ends are not
+first each node's likeliest candidates, at last all candidates whose ends are not
 connected yet.  In regions with more nodes than a node has neighbours, the
 sketches of nodes outside the region's largest component are then compared with
-all its other components, in blocks, and the 8 likeliest pairs of each node, then
-the 64 likeliest, confirmed until no new link is found.  Sets are computed from the texts again, for nodes in a candidate
+all all its other components, in blocks, and the likeliest pairs of each node
+confirmed, by growing rank, until no new link is found.  Sets are computed from the texts again, for nodes in a candidate
 pair only: a bitmap of fixed size, which any number of nodes may fill, lets a
 worker leave out the others.
 
@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.components import components
 from lodestone.llm.shared import table
-from lodestone.llm.spans import LOWER, Words, batches, chained, mix
+from lodestone.llm.spans import LOWER, Words, batches, chained, mix, worker_cache
 
 TREES, DEPTH, LEAST, MIDDLE = 16, 8, 4, 6
 NEIGHBOURS = 4
@@ -112,6 +112,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("minhash_forest")
         for batch in parts:
             for part, data, offsets in batches(batch, "_t"):
                 sets = shingle_sets(data, offsets, size)
@@ -179,23 +180,22 @@ def likely(pairs: DataFrame, sketch: DataFrame, least: float = SKETCH_LEAST) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(agree, "a long, b long, agree int")
 
 
-def _cross(node: np.ndarray, comp: np.ndarray, sketch: np.ndarray, least: float, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """In one region: for each node outside its largest component, its `top` likeliest partners in other components."""
+def _cross(node: np.ndarray, comp: np.ndarray, sketch: np.ndarray, least: float, ranks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """In one region: for each node outside its largest component, its likeliest partners in other components, of these ranks."""
     _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
     outside = np.flatnonzero(comp != size.argmax())
     ends = []
     for block in np.array_split(outside, -(-len(outside) // 64)) if len(outside) else []:
         same = (sketch[block][:, None, :] == sketch[None, :, :]).sum(2)
         same[comp[block][:, None] == comp[None, :]] = -1
-        k = min(top, same.shape[1])
-        best = np.argpartition(-same, k - 1, axis=1)[:, :k]
+        best = np.argsort(-same, axis=1, kind="stable")[:, ranks[0] : ranks[1]]
         good = np.take_along_axis(same, best, 1) >= least * sketch.shape[1]
-        ends.append(np.stack([np.repeat(node[block], k)[good.ravel()], node[best][good]]))
+        ends.append(np.stack([np.repeat(node[block], best.shape[1])[good.ravel()], node[best][good]]))
     a, b = np.concatenate(ends, 1) if ends else np.zeros((2, 0), np.int64)
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, least: float, top: int = 8) -> DataFrame:
+def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, least: float, ranks: tuple[int, int]) -> DataFrame:
     """Likely pairs a < b across components, inside the regions that hold more nodes than a node has neighbours.
 
     A region holds region_rows nodes at most, so that one task compares its
@@ -213,7 +213,7 @@ def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, least: float,
             if held:
                 t = pa.Table.from_batches(held)
                 sig = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1)
-                a, b = _cross(t["node"].to_numpy(), t["comp"].to_numpy(), sig, least, top)
+                a, b = _cross(t["node"].to_numpy(), t["comp"].to_numpy(), sig, least, ranks)
                 held.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -284,6 +284,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after further links; of the former ones, each node needs its component's least node only."""
+    return components(links if comp is None else links.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in two components."""
+    out = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD, region_rows: int = REGION_ROWS) -> DataFrame:
     """One row a document: id, n_shingles, component_id, kept (the id is its component's)."""
     least = SKETCH_LEAST - (85 - percent) / 100
@@ -295,28 +306,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = table(likely(pairs_of(regions), sketch, least), "forest-pairs")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node"))
     sets = table(full_sets(docs, text_col, shingle, _bitmap(compared, BITMAP_BITS)), "forest-sets", BATCH)
-    # The likeliest candidate of each node first; it connects most of what is connected at all.
-    ends = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select("b", "a", "b", "agree"))
-    best = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = table(confirmed(best, sets, percent), "forest-links", BATCH)
-    comp = components(links)
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = rest.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    rest = table(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "forest-rest")
-    links = links.union(table(confirmed(rest, sets, percent), "forest-links", BATCH))
-    comp = components(links)
+    # Each node's likeliest candidates first; they connect most of what is connected at all, and the rest need not be compared.
+    links = comp = tried = None
+    for most in (1, 2, 8, None):
+        ends = pairs if comp is None else _apart(pairs.join(tried, ["a", "b"], "left_anti"), comp)
+        if most:
+            both = ends.select(F.col("a").alias("node"), "a", "b", "agree").union(ends.select("b", "a", "b", "agree"))
+            rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "a", "b"))
+            ends = both.withColumn("rank", rank).filter(F.col("rank") <= most).select("a", "b").distinct()
+        ends = table(ends.select("a", "b"), "forest-ends")
+        if comp is not None and ends.isEmpty():
+            break
+        tried = ends if tried is None else tried.union(ends)
+        comp = _joined(comp, table(confirmed(ends, sets, percent), "forest-links", BATCH))
     # In dense regions neighbours are few of all; look further between components until that finds nothing.
-    tops, tried = [8, 64], None
-    while tops and not dense.isEmpty():
-        more = crossing(dense, comp, sketch, least, tops[0])
-        more = table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "forest-crossing")
-        tried = more if tried is None else tried.union(more)
+    spans = [(0, 2), (2, 6), (6, 16)]
+    while spans and not dense.isEmpty():
+        more = table(crossing(dense, comp, sketch, least, spans[0]).join(tried, ["a", "b"], "left_anti"), "forest-crossing")
+        tried = tried.union(more)
         found = table(confirmed(more, sets, percent), "forest-links", BATCH)
         if found.isEmpty():
-            tops.pop(0)
+            spans.pop(0)
         else:
-            links = links.union(found)
-            comp = components(links)
+            comp, spans = _joined(comp, found), [(0, 2), (2, 6), (6, 16)]
     placed = rows.select("_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_id = placed.filter("comp is not null").groupBy("comp").agg(F.min("_id").alias("least_id"))
     out = placed.join(least_id, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("least_id")))
