@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.spans import as_bytes, batches, groups
+from lodestone.llm.spans import as_bytes, batches, groups, worker_cache
 
 MAX_BYTES, MAX_DOCS = 32_000, 64
 LANE = 512
@@ -139,15 +139,13 @@ class Parser:
         return total * self.bits / np.maximum(sizes, 1)[:, None]
 
 
-_parsers: dict[tuple, Parser] = {}
-
-
 def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
     """One parser a Python worker for each set of samples."""
-    if samples not in _parsers:
-        _parsers.clear()
-        _parsers[samples] = Parser(dict(samples))
-    return _parsers[samples]
+    kept = worker_cache("langid")
+    if samples not in kept:
+        kept.clear()
+        kept[samples] = Parser(dict(samples))
+    return kept[samples]
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.ndarray:

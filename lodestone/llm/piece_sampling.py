@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.spans import CONT, batches, mix, span_hashes
+from lodestone.llm.spans import CONT, batches, mix, span_hashes, worker_cache
 
 SHARPNESS = 1.0
 CACHE_EDGES = 4_000_000
@@ -246,14 +246,12 @@ class Sampler:
         return out, np.concatenate([[0], ends])[bounds]
 
 
-_samplers: dict[tuple[str, float], Sampler] = {}
-
-
 def sampler(path: str, sharpness: float) -> Sampler:
     """One sampler a Python worker."""
-    if (path, sharpness) not in _samplers:
-        _samplers[path, sharpness] = Sampler(Pieces(path, sharpness))
-    return _samplers[path, sharpness]
+    kept = worker_cache("piece_sampling")
+    if (path, sharpness) not in kept:
+        kept[path, sharpness] = Sampler(Pieces(path, sharpness))
+    return kept[path, sharpness]
 
 
 def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -7,6 +7,8 @@ bytes outside ``[\\x20\\x09-\\x0D]``; they never cross a text's end.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,28 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
 
+_libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a reused worker doesn't keep what its largest group took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What a Python worker keeps between tasks for one operator; what it kept for another goes first."""
+    if name not in _kept:
+        _kept.clear()
+        trim()
+        _kept[name] = {}
+    return _kept[name]
+
+
 def powers(n: int) -> np.ndarray:
     """The first n powers of the hash base, modulo 2**64."""
     global _POWERS

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.shared import new_path, table
-from lodestone.llm.spans import LOWER, Words, batches
+from lodestone.llm.spans import LOWER, Words, batches, worker_cache
 
 MAGIC = b"LODESST1"
 BLOCK_BYTES = 1 << 16
@@ -300,14 +300,12 @@ class WordEncoder:
         return ids, np.concatenate([[0], ends])[words.bounds]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    kept = worker_cache("sstable")
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -11,7 +11,7 @@ by their first `LENGTH` bytes, as a difference-cover suffix sort does it:
 2. Names.  The tuples are sorted, by hash, in buckets over all texts, and
    neighbours compared: each group of texts learns which of its names another
    group holds too.  The order need not be that of the bytes, as only equality
-   counts, and since names of 30 bytes decide where 50 bytes can agree, one level
+   counts, and since names of 38 bytes decide where 50 bytes can agree, one level
    of names suffices and the recursion ends there.
 3. Remaining suffixes.  Only places whose string holds a shared name go on.  The
    names of their first `LENGTH` bytes are sorted in buckets, and neighbours
@@ -45,16 +45,17 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import table
-from lodestone.llm.spans import Rolling, as_bytes, groups
+from lodestone.llm.spans import Rolling, as_bytes, groups, trim, worker_cache
 
 LENGTH = 50
-#: A perfect difference set: every shift modulo 21 is the difference of two of its members.
-CYCLE, COVER = 21, (3, 6, 7, 12, 14)
-GROUP_BYTES = 4 << 20
+#: A perfect difference set: every shift modulo 13 is the difference of two of its members.
+CYCLE, COVER = 13, (0, 1, 3, 9)
+GROUP_BYTES = 3 << 20
 BUCKET_NAMES = 2 << 20
 #: Texts are hashed in parts of about so many bytes.
 PART_BYTES = 1 << 20
@@ -63,21 +64,21 @@ LAST = (1 << 63) - 1
 
 
 def pack(names: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit names, as differences of as few bytes as the largest needs."""
-    first = names[:1].astype("<u8").tobytes()
-    d = np.diff(names, prepend=names[:1])
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([width]) + first + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted distinct 64-bit names: the first, and the differences of as few bytes as the largest needs, byte by byte and compressed."""
+    d = np.diff(names)
+    width = (int(d.max()).bit_length() + 7) // 8 if len(d) else 0
+    planes = np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + names[:1].astype("<u8").tobytes() + zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    if len(data) == 1:
-        return np.zeros(0, np.uint64)
-    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    full = np.zeros((len(body), 8), np.uint8)
-    full[:, :width] = body
-    return np.frombuffer(data, "<u8", 1, 1) + np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
+    width, body = data[0], zstandard.ZstdDecompressor().decompress(data[9:])
+    planes = np.frombuffer(body, np.uint8).reshape(width, -1) if width else np.zeros((0, 0), np.uint8)
+    full = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    full[1:, :width] = planes.T
+    out = full.view("<u8").ravel()
+    out[0] = np.frombuffer(data, "<u8", 1, 1)[0]
+    return np.cumsum(out, dtype=np.uint64)
 
 
 class Group:
@@ -167,10 +168,11 @@ def _compare(blobs: DataFrame, earlier: bool) -> DataFrame:
     """Sorts each bucket's names and compares neighbours: grp, bucket and one bit a name, set if another (an earlier) group holds it."""
 
     def run(t: pa.Table) -> pa.Table:
-        grp = t["grp"].to_numpy()
+        worker_cache("suffix_dedup")
+        trim()
         parts = [unpack(x.as_py()) for x in t["blob"]]
         n = np.array([len(p) for p in parts])
-        names, owner = np.concatenate(parts), np.repeat(grp, n)
+        names = np.concatenate(parts)
         # The blobs come in the order of their groups, so a stable sort leaves equal names in that order.
         order = np.argsort(names, kind="stable")
         s = names[order]
@@ -232,16 +234,20 @@ def judged_texts(rows: DataFrame, with_text: bool = False, group_bytes: int = GR
     texts, _, total = distinct_texts(rows, group_bytes)
     n_names = max(1, total * len(COVER) // CYCLE)
     bucket_bits = max(0, math.ceil(math.log2(max(1, n_names / bucket_names))))
-    name_bits = min(64, max(bucket_bits, math.ceil(math.log2(n_names + 1)) + 11))
+    name_bits = min(64, max(bucket_bits, math.ceil(math.log2(n_names + 1)) + 10))
     string_bits = min(64, max(bucket_bits, 2 * math.ceil(math.log2(total + 2)) + 2))
 
     def load(t: pa.Table) -> Group:
         return Group(t["text"], t["least"].to_numpy(), name_bits, string_bits)
 
     def sample(t: pa.Table) -> pa.Table:
+        worker_cache("suffix_dedup")
+        trim()
         return _blobs(t["grp"][0].as_py(), load(t).names, name_bits, bucket_bits)
 
     def strings(t: pa.Table, told: pa.Table) -> pa.Table:
+        worker_cache("suffix_dedup")
+        trim()
         if not len(t):
             return _blobs(0, np.zeros(0, np.uint64), string_bits, bucket_bits)
         g = load(t)
@@ -249,6 +255,8 @@ def judged_texts(rows: DataFrame, with_text: bool = False, group_bytes: int = GR
         return _blobs(t["grp"][0].as_py(), g.strings, string_bits, bucket_bits)
 
     def judge(t: pa.Table, told: pa.Table) -> pa.Table:
+        worker_cache("suffix_dedup")
+        trim()
         if not len(t):
             return finish(t, None)
         g = load(t)
