@@ -76,7 +76,7 @@ def lyapunov_henon(a: Column, b: Column, transient: int = TRANSIENT, rounds: int
         p, q = a.to_numpy(float, na_value=np.nan), b.to_numpy(float, na_value=np.nan)
         return pd.Series(_rows(largest_exponent(henon(p, q), np.zeros((2, len(p))), 1.0, transient, rounds), ~(np.isnan(p) | np.isnan(q))))
 
-    return F.when(a.isNotNull() & b.isNotNull(), udf(a, b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(udf(a, b), F.lit(float("nan"))))
 
 
 def lyapunov_lorenz(sigma: Column, beta: Column, rho: Column, dt: float = 0.01, transient: int = TRANSIENT, rounds: int = ROUNDS, start: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Column:
@@ -88,7 +88,7 @@ def lyapunov_lorenz(sigma: Column, beta: Column, rho: Column, dt: float = 0.01,
         state = np.repeat(np.array(start, float)[:, None], len(p[0]), axis=1)
         return pd.Series(_rows(largest_exponent(runge_kutta(lorenz(*p), dt), state, dt, transient, rounds), ~np.isnan(np.stack(p)).any(0)))
 
-    return F.when(sigma.isNotNull() & beta.isNotNull() & rho.isNotNull(), udf(sigma, beta, rho))
+    return F.when(sigma.isNotNull() & beta.isNotNull() & rho.isNotNull(), F.coalesce(udf(sigma, beta, rho), F.lit(float("nan"))))
 
 
 def _rows(values: np.ndarray, known: np.ndarray) -> np.ndarray:
