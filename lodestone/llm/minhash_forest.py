@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles (64-bit hashes).  Documents
 with equal sets are one node from the start.  A node has `TREES` signature
 orders of `DEPTH` MinHash values each.  In each order, nodes that share the
-first `LEAST` values are a region; a region with more than `region_rows` nodes
+first few values are a region (so few that a pair at the threshold misses all
+regions with a chance of at most `MISSED`); a region with more than `region_rows` nodes
 is cut at greater depth, and by the node's hash at full depth.  Inside a region
 nodes are sorted by the rest of their values, so that those with the longest
 common prefix stand side by side; a node's candidates are its next
@@ -20,9 +21,6 @@ confirmed, by growing rank, until no new link is found.  Sets are computed from
 pair only: a bitmap of fixed size, which any number of nodes may fill, lets a
 worker leave out the others.
 
-A pair at similarity 0.85 shares a region in one order with chance 0.85 ** 4 and
-misses all 16 with chance 1e-5.
-
 Defined results: texts that are null or hold no word have the empty set, link to
 nothing and are their own component; a text with fewer words than a shingle has
 its whole sequence as its one shingle; rows with a null id take part, and a
@@ -44,7 +42,8 @@ from lodestone.llm.components import components
 from lodestone.llm.shared import table
 from lodestone.llm.spans import LOWER, Words, batches, chained, mix, worker_cache
 
-TREES, DEPTH, LEAST, MIDDLE = 16, 8, 4, 6
+TREES, DEPTH, MIDDLE = 16, 8, 6
+MISSED = 2e-5
 NEIGHBOURS = 4
 SHINGLE, THRESHOLD = 5, 80
 REGION_ROWS = 4096
@@ -123,19 +122,27 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, n_shingles long, node long, sig binary")
 
 
-def regions_of(nodes: DataFrame, region_rows: int = REGION_ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
+def least_depth(percent: int) -> int:
+    """How many values a region's nodes share: as many as leave a pair at the threshold a chance of at most MISSED to share no region."""
+    depth = MIDDLE
+    while depth > 1 and (1 - (percent / 100) ** depth) ** TREES > MISSED:
+        depth -= 1
+    return depth
+
+
+def regions_of(nodes: DataFrame, depth: int, region_rows: int = REGION_ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
     """node, region, n (its nodes), others (the node's candidates there), for each order in which the node has company."""
     rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
     rows = rows.select("node", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("vals"))
 
-    def key(depth: int) -> F.Column:
-        return F.xxhash64("tree", F.substring("vals", 1, 4 * depth))
+    def key(values: int) -> F.Column:
+        return F.xxhash64("tree", F.substring("vals", 1, 4 * values))
 
     def dense(df: DataFrame, name: str) -> DataFrame:
         """Regions that are too large, with their size and least node."""
         return table(df.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter(F.col("n") > region_rows), "forest-dense")
 
-    rows = rows.withColumn("k1", key(LEAST)).withColumn("k2", key(MIDDLE)).withColumn("k3", key(DEPTH))
+    rows = rows.withColumn("k1", key(depth)).withColumn("k2", key(MIDDLE)).withColumn("k3", key(DEPTH))
     wide = dense(rows, "k1").select("k1", F.col("least").alias("hub1"))
     inside = rows.join(wide, "k1")
     middle = dense(inside, "k2").select("k2", F.col("least").alias("hub2"), F.ceil(F.col("n") / region_rows).alias("cuts"))
@@ -301,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = table(signed(docs, id_col, text_col, shingle), "forest-rows", BATCH)
     nodes = table(rows.filter("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "forest-nodes")
     sketch = sketches(nodes)
-    regions = regions_of(nodes, region_rows)
+    regions = regions_of(nodes, least_depth(percent), region_rows)
     dense = regions.filter(F.col("n") > 2 * NEIGHBOURS + 1).select("region", "node")
     pairs = table(likely(pairs_of(regions), sketch, least), "forest-pairs")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node"))
