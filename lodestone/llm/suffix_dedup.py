@@ -26,9 +26,10 @@ goes as a whole, if it is long enough.  Rows whose text occurs once, as a bitmap
 of fixed size tells, are shuffled once only.
 
 Names are hashes.  Those of tuples are cut to the bits that tell most of them
-apart, as a clash costs time only.  Those of n strings have two more than twice the bits that
-count the bytes of all texts, 64 at most: the chance that any two clash is at
-most one half up to 4 GB of shared text, and grows from there as n * n / 2 ** 65.
+apart, as a clash costs time only.  A string's name has one bit less than twice
+the bits that count all texts' bytes, 64 at most; if a share s of the bytes is a
+candidate, the chance that any two strings clash is about s * s up to 4 GB, and
+grows as the square of the strings beyond.
 
 Defined results: null is the empty text; texts under `LENGTH` bytes lose
 nothing; null ids come after all others; rows that repeat an id are not earlier
@@ -55,7 +56,7 @@ from lodestone.llm.spans import Rolling, as_bytes, groups, trim, worker_cache
 LENGTH = 50
 #: A perfect difference set: every shift modulo 13 is the difference of two of its members.
 CYCLE, COVER = 13, (0, 1, 3, 9)
-GROUP_BYTES = 3 << 20
+GROUP_BYTES = 4 << 20
 BUCKET_NAMES = 2 << 20
 #: Texts are hashed in parts of about so many bytes.
 PART_BYTES = 1 << 20
@@ -213,19 +214,20 @@ def distinct_texts(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, int, i
     bitmap[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
     held = rows.sparkSession.sparkContext.broadcast((bounds, bitmap))
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series, h1: pd.Series) -> pd.Series:
-        bounds, bitmap = held.value
+    @F.pandas_udf("boolean")
+    def often(h1: pd.Series) -> pd.Series:
         at = h1.to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-        often = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-        grp = np.searchsorted(bounds, ids.to_numpy(), "right")
-        return pd.Series(np.where(often, -1 - grp, grp).astype(np.int32))
-
-    placed = rows.withColumn("grp", place("id", "h1"))
-    once = placed.filter("grp >= 0").select("grp", "h1", "h2", F.col("id").alias("least"), "text")
-    often = placed.filter("grp < 0").join(keys.select("h1", "h2", F.col("least").alias("id")), ["h1", "h2", "id"])
-    often = often.groupBy("h1", "h2").agg(F.first("grp").alias("grp"), F.first("id").alias("least"), F.first("text").alias("text"))
-    texts = once.unionByName(often.select((-1 - F.col("grp")).alias("grp"), "h1", "h2", "least", "text"))
+        return pd.Series(((held.value[1][(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool))
+
+    @F.pandas_udf("int")
+    def place(least: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held.value[0], least.to_numpy(), "right").astype(np.int32))
+
+    marked = rows.withColumn("often", often("h1"))
+    once = marked.filter(~F.col("often")).select("h1", "h2", F.col("id").alias("least"), "text")
+    # All rows of a text are on this side; each task sends a text once.
+    copies = marked.filter("often").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("text").alias("text"))
+    texts = once.unionByName(copies).select(place("least").alias("grp"), "h1", "h2", "least", "text")
     return texts.repartition(n_groups, "grp"), n_groups, total
 
 
@@ -235,7 +237,7 @@ def judged_texts(rows: DataFrame, with_text: bool = False, group_bytes: int = GR
     n_names = max(1, total * len(COVER) // CYCLE)
     bucket_bits = max(0, math.ceil(math.log2(max(1, n_names / bucket_names))))
     name_bits = min(64, max(bucket_bits, math.ceil(math.log2(n_names + 1)) + 10))
-    string_bits = min(64, max(bucket_bits, 2 * math.ceil(math.log2(total + 2)) + 2))
+    string_bits = min(64, max(bucket_bits, 2 * math.ceil(math.log2(total + 2)) - 1))
 
     def load(t: pa.Table) -> Group:
         return Group(t["text"], t["least"].to_numpy(), name_bits, string_bits)
