@@ -41,11 +41,11 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    found = near_duplicates(rows, id_col="_uid", text_col="text")
-    ids = rows.select("_uid", F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"))
-    first = found.join(ids, "_uid").groupBy("component_id").agg(F.min(F.struct("_none", "_id", "_uid"))["_uid"].alias("_uid"))
-    return rows.join(table(first.select("_uid"), "pipeline-first"), "_uid", "left_semi").select(*docs.columns)
+    rows = docs.withColumn("__lodestone_uid", F.monotonically_increasing_id())
+    found = near_duplicates(rows, id_col="__lodestone_uid", text_col="text")
+    ids = rows.select("__lodestone_uid", F.col("doc_id").isNull().alias("__lodestone_none"), F.col("doc_id").alias("__lodestone_id"))
+    first = found.join(ids, "__lodestone_uid").groupBy("component_id").agg(F.min(F.struct("__lodestone_none", "__lodestone_id", "__lodestone_uid"))["__lodestone_uid"].alias("__lodestone_uid"))
+    return rows.join(table(first.select("__lodestone_uid"), "pipeline-first"), "__lodestone_uid", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +56,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number; not at all where that is none."""
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    taken = taken_words(mix_sources(rows, uid_col="_uid"))
-    times = taken.filter("size > 0").select(F.col("uid").alias("_uid"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).filter("_times > 0")
-    out = rows.join(table(times, "pipeline-times"), "_uid")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = docs.withColumn("__lodestone_uid", F.monotonically_increasing_id())
+    taken = taken_words(mix_sources(rows, uid_col="__lodestone_uid"))
+    times = taken.filter("size > 0").select(F.col("uid").alias("__lodestone_uid"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__lodestone_times")).filter("_times > 0")
+    out = rows.join(table(times, "pipeline-times"), "__lodestone_uid")
+    return out.withColumn("__lodestone_copy", F.explode(F.sequence(F.lit(1), F.col("__lodestone_times")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,16 +122,17 @@ class Parser:
         codes = self.classes[data]
         roots = np.array(self.roots, np.int32)[:, None]
         state = np.repeat(roots, len(begin), axis=1)
-        phrases = np.ones((k, len(begin)), np.int32)
+        phrases = np.zeros((k, len(begin)), np.int32)
         width = np.int32(self.width)
         active = np.searchsorted(-length, -np.arange(LANE), "left")  # lanes longer than t
         for t in range(int(length[0]) if len(length) else 0):
             m = active[t]
             c = codes[begin[:m] + t][None, :]
             nxt = self.table[state[:, :m] * width + c]
+            # A phrase starts at the root, and where the one before can't go on; a byte unknown to the sample is one.
             fail = nxt < 0
+            phrases[:, :m] += fail | (state[:, :m] == roots)
             if fail.any():
-                phrases[:, :m] += fail
                 fresh = self.table[roots * width + c]
                 nxt = np.where(fail, np.where(fresh < 0, roots, fresh), nxt)
             state[:, :m] = nxt

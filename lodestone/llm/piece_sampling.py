@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.spans import CONT, batches, mix, span_hashes, worker_cache
 
 SHARPNESS = 1.0
-CACHE_EDGES = 4_000_000
+CACHE_EDGES = 2_500_000
 SPACE = "▁"
 
 
@@ -181,8 +181,8 @@ class Sampler:
         back = np.where(opening, 0, base + start - 1).astype(np.int32)
         for name, new, used in (("first", first, self.n_nodes), ("cum", cum, self.n_edges), ("back", back, self.n_edges), ("tok", tok, self.n_edges), ("tok_n", tok_n, self.n_edges), ("spill", spill, self.n_spill)):
             have = getattr(self, name)
-            while used + len(new) > len(have):
-                have = np.concatenate([have, np.zeros_like(have)])
+            if used + len(new) > len(have):
+                have = np.concatenate([have[:used], np.zeros((used + len(new)) // 4 + len(new), have.dtype)])
             have[used : used + len(new)] = new
             setattr(self, name, have)
         self.n_nodes += len(first)

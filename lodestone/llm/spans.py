@@ -177,3 +177,4 @@ def batches(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterato
     data, offsets = as_bytes(batch.column(batch.schema.get_field_index(column)))
     for i, j in groups(offsets, limit):
         yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    trim()

@@ -214,20 +214,25 @@ def distinct_texts(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, int, i
     bitmap[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
     held = rows.sparkSession.sparkContext.broadcast((bounds, bitmap))
 
-    @F.pandas_udf("boolean")
-    def often(h1: pd.Series) -> pd.Series:
+    def group(ids: pd.Series) -> np.ndarray:
+        return np.searchsorted(held.value[0], ids.to_numpy(), "right").astype(np.int32)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, h1: pd.Series) -> pd.Series:
+        """The group of a text that occurs once, and -1 for one that may occur often."""
         at = h1.to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-        return pd.Series(((held.value[1][(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool))
+        often = (held.value[1][(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        return pd.Series(np.where(often, np.int32(-1), group(ids)))
 
     @F.pandas_udf("int")
-    def place(least: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(held.value[0], least.to_numpy(), "right").astype(np.int32))
+    def place_least(ids: pd.Series) -> pd.Series:
+        return pd.Series(group(ids))
 
-    marked = rows.withColumn("often", often("h1"))
-    once = marked.filter(~F.col("often")).select("h1", "h2", F.col("id").alias("least"), "text")
+    placed = rows.withColumn("grp", place("id", "h1"))
+    once = placed.filter("grp >= 0").select("grp", "h1", "h2", F.col("id").alias("least"), "text")
     # All rows of a text are on this side; each task sends a text once.
-    copies = marked.filter("often").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("text").alias("text"))
-    texts = once.unionByName(copies).select(place("least").alias("grp"), "h1", "h2", "least", "text")
+    copies = placed.filter("grp < 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("text").alias("text"))
+    texts = once.unionByName(copies.select(place_least("least").alias("grp"), "h1", "h2", "least", "text"))
     return texts.repartition(n_groups, "grp"), n_groups, total
 
 
@@ -316,10 +321,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = _keyed(docs, id_col, text_col)
     judged = judged_texts(rows, with_text=True, **options)
-    judged = judged.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("least").alias("_least"), F.col("n_bytes").alias("_n"), (F.col("n_removed") > 0).alias("_cut"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("_kept"))
+    judged = judged.select(F.col("h1").alias("__lodestone_h1"), F.col("h2").alias("__lodestone_h2"), F.col("least").alias("__lodestone_least"), F.col("n_bytes").alias("__lodestone_n"), (F.col("n_removed") > 0).alias("__lodestone_cut"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("__lodestone_kept"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(9))})
-    out = out.join(judged, ["_h1", "_h2"])
-    copy = (F.col("_id") > F.col("_least")) & (F.col("_n") >= LENGTH)
-    return out.withColumn(text_col, F.when(copy, F.lit("")).when(F.col("_cut"), F.col("_kept")).otherwise(F.col(text_col))).select(*docs.columns)
+    out = docs.withColumns({"__lodestone_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__lodestone_h1": F.xxhash64(text), "__lodestone_h2": F.xxhash64(text, F.lit(9))})
+    out = out.join(judged, ["__lodestone_h1", "__lodestone_h2"])
+    copy = (F.col("__lodestone_id") > F.col("__lodestone_least")) & (F.col("__lodestone_n") >= LENGTH)
+    return out.withColumn(text_col, F.when(copy, F.lit("")).when(F.col("__lodestone_cut"), F.col("__lodestone_kept")).otherwise(F.col(text_col))).select(*docs.columns)
 
