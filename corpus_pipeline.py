@@ -58,7 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number; not at all where that is none."""
     rows = docs.withColumn("__lodestone_uid", F.monotonically_increasing_id())
     taken = taken_words(mix_sources(rows, uid_col="__lodestone_uid"))
-    times = taken.filter("size > 0").select(F.col("uid").alias("__lodestone_uid"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__lodestone_times")).filter("_times > 0")
+    times = taken.filter("size > 0").select(F.col("uid").alias("__lodestone_uid"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__lodestone_times")).filter("__lodestone_times > 0")
     out = rows.join(table(times, "pipeline-times"), "__lodestone_uid")
     return out.withColumn("__lodestone_copy", F.explode(F.sequence(F.lit(1), F.col("__lodestone_times")))).select(*docs.columns)
 
