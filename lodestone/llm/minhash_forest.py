@@ -17,7 +17,7 @@ first each node's likeliest candidates, at last all candidates whose ends are no
 connected yet.  In regions with more nodes than a node has neighbours, the
 sketches of nodes outside the region's largest component are then compared with
 all all its other components, in blocks, and the likeliest pairs of each node
-confirmed, by growing rank, until no new link is found.  Sets are computed from the texts again, for nodes in a candidate
+confirmed, and once more where that joined some.  Sets are computed from the texts again, for nodes in a candidate
 pair only: a bitmap of fixed size, which any number of nodes may fill, lets a
 worker leave out the others.
 
@@ -296,10 +296,16 @@ def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(links if comp is None else links.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
 
+def _linked(comp: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """Components after further links, and whether there were any."""
+    links = table(links, "forest-links", BATCH)
+    return (comp, False) if links.isEmpty() else (_joined(comp, links), True)
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose ends are in two components."""
     out = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
+    return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD, region_rows: int = REGION_ROWS) -> DataFrame:
@@ -313,29 +319,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = table(likely(pairs_of(regions), sketch, least), "forest-pairs")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node"))
     sets = table(full_sets(docs, text_col, shingle, _bitmap(compared, BITMAP_BITS)), "forest-sets", BATCH)
-    # Each node's likeliest candidates first; they connect most of what is connected at all, and the rest need not be compared.
-    links = comp = tried = None
-    for most in (1, 2, 8, None):
-        ends = pairs if comp is None else _apart(pairs.join(tried, ["a", "b"], "left_anti"), comp)
-        if most:
-            both = ends.select(F.col("a").alias("node"), "a", "b", "agree").union(ends.select("b", "a", "b", "agree"))
-            rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "a", "b"))
-            ends = both.withColumn("rank", rank).filter(F.col("rank") <= most).select("a", "b").distinct()
-        ends = table(ends.select("a", "b"), "forest-ends")
-        if comp is not None and ends.isEmpty():
+    # Each node's two likeliest candidates first; they connect most of what is connected at all, and the rest need not be compared.
+    both = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select("b", "a", "b", "agree"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "a", "b"))
+    tried = table(both.withColumn("rank", rank).filter("rank <= 2").select("a", "b").distinct(), "forest-ends")
+    comp = _joined(None, table(confirmed(tried, sets, percent), "forest-links", BATCH))
+    rest = table(_apart(pairs.join(tried, ["a", "b"], "left_anti"), comp), "forest-ends")
+    comp = _linked(comp, confirmed(rest, sets, percent))[0]
+    tried = tried.union(rest)
+    # In dense regions neighbours are few of all: look further between components, and once more where that joined some.
+    for ranks in ((0, 12), (0, 6)):
+        if dense.isEmpty():
+            break
+        more = table(crossing(dense, comp, sketch, least, ranks).join(tried, ["a", "b"], "left_anti"), "forest-ends")
+        comp, found = _linked(comp, confirmed(more, sets, percent))
+        if not found:
             break
-        tried = ends if tried is None else tried.union(ends)
-        comp = _joined(comp, table(confirmed(ends, sets, percent), "forest-links", BATCH))
-    # In dense regions neighbours are few of all; look further between components until that finds nothing.
-    spans = [(0, 2), (2, 6), (6, 16)]
-    while spans and not dense.isEmpty():
-        more = table(crossing(dense, comp, sketch, least, spans[0]).join(tried, ["a", "b"], "left_anti"), "forest-crossing")
         tried = tried.union(more)
-        found = table(confirmed(more, sets, percent), "forest-links", BATCH)
-        if found.isEmpty():
-            spans.pop(0)
-        else:
-            comp, spans = _joined(comp, found), [(0, 2), (2, 6), (6, 16)]
     placed = rows.select("_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_id = placed.filter("comp is not null").groupBy("comp").agg(F.min("_id").alias("least_id"))
     out = placed.join(least_id, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("least_id")))
