@@ -88,7 +88,7 @@ class Mix:
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
-    total_share: float = TOTAL_SHARE, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = SEED, bucket_rows: int = 100_000,
+    total_share: float = TOTAL_SHARE, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = SEED, bucket_rows: int = 4096,
     max_sources: int = 1_000_000, uid_col: str | None = None,
 ) -> Mix:
     """The mix of `docs`. Weights repeat over the sources in code point order.
@@ -109,13 +109,14 @@ def mix_sources(
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], total_share * sum(sizes), most)
     quota = [min(round(t), most * s) for t, s in zip(goal, sizes, strict=True)]
     sources = pd.DataFrame({"src": range(len(per)), "source": [r.source for r in per], "source_size": sizes, "target": goal, "quota": quota})
-    schema = "src int, known_source string, source_size long, target double, quota long"
-    known = spark.createDataFrame([tuple(r) for r in zip(range(len(per)), [r.source for r in per], sizes, goal, quota, strict=True)], schema)
+    # A source's hash order is cut into buckets of about bucket_rows documents.
+    bits = [max(0, math.ceil(math.log2(r.n / bucket_rows))) for r in per]
+    schema = "src int, known_source string, source_size long, target double, quota long, bits int"
+    known = spark.createDataFrame(list(zip(range(len(per)), [r.source for r in per], sizes, goal, quota, bits, strict=True)), schema)
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("known_source"))).drop("known_source")
 
     # Where each document lies in its source's stream.
-    bits = max(0, math.ceil(math.log2(max(1, sum(r.n for r in per) / bucket_rows))))
-    rows = rows.withColumn("bucket", F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("long"))
+    rows = rows.withColumn("bucket", F.expr("shiftright(h, 63 - bits)"))
     placed = _running(rows, ["src"], "bucket", ["h", "size", "uid"], F.col("size"), "off")
 
     # The slots: interval lengths leave room for the lattice's discrepancy; slots past a source's last block stay empty.
