@@ -313,7 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = SKETCH_LEAST - (85 - percent) / 100
     rows = table(signed(docs, id_col, text_col, shingle), "forest-rows", BATCH)
     nodes = table(rows.filter("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "forest-nodes")
-    sketch = sketches(nodes)
+    # Written, so that no task runs this function and another one behind it.
+    sketch = table(sketches(nodes), "forest-sketches", BATCH)
     regions = regions_of(nodes, least_depth(percent), region_rows)
     dense = regions.filter(F.col("n") > 2 * NEIGHBOURS + 1).select("region", "node")
     pairs = table(likely(pairs_of(regions), sketch, least), "forest-pairs")

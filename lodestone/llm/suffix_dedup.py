@@ -56,10 +56,10 @@ from lodestone.llm.spans import Rolling, as_bytes, groups, trim, worker_cache
 LENGTH = 50
 #: A perfect difference set: every shift modulo 13 is the difference of two of its members.
 CYCLE, COVER = 13, (0, 1, 3, 9)
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 BUCKET_NAMES = 2 << 20
 #: Texts are hashed in parts of about so many bytes.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 BITMAP_BITS = 24
 LAST = (1 << 63) - 1
 
