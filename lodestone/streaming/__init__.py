@@ -1,0 +1 @@
+"""No streaming operators: every analysis here is a batch over whole tables, and none is asked for over streams."""
