@@ -32,6 +32,7 @@ WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_REPEATS = 2
 SEED = 17
+HASH_BITS = 60
 #: Two neighbours of the Fibonacci sequence; their quotient is the golden ratio's fraction.
 LATTICE, STEP = 1836311903, 1134903170
 
@@ -46,11 +47,11 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
     """Shares of `total` by weight; none above `most` times its size, the excess shared again by weight."""
     out, open_, left = [0.0] * len(sizes), list(range(len(sizes))), total
     while open_:
-        per = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * per > most * sizes[i]]
+        whole = sum(weights[i] for i in open_)
+        full = [i for i in open_ if weights[i] * left / whole > most * sizes[i]]
         if not full:
             for i in open_:
-                out[i] = weights[i] * per
+                out[i] = weights[i] * left / whole
             break
         for i in full:
             out[i] = float(most * sizes[i])
@@ -97,17 +98,17 @@ def mix_sources(
     uid_col names a column of distinct longs, where the caller has one.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        (F.col(uid_col) if uid_col else F.monotonically_increasing_id()).alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.col(id_col).cast("string").alias("_k"),
-    )
-    rows = table(rows.select("uid", "doc_id", "source", "size", F.xxhash64("_k", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)).alias("h")), "mix-sizes")
+    # Sixty bits of a digest that SQL knows too.
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    order = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    rows = table(docs.select(uid.alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("h")), "mix-sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
     if len(per) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     sizes = [r.source_size for r in per]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], total_share * sum(sizes), most)
-    quota = [min(round(t), most * s) for t, s in zip(goal, sizes, strict=True)]
+    quota = [min(math.floor(t + 0.5), most * s) for t, s in zip(goal, sizes, strict=True)]
     sources = pd.DataFrame({"src": range(len(per)), "source": [r.source for r in per], "source_size": sizes, "target": goal, "quota": quota})
     # A source's hash order is cut into buckets of about bucket_rows documents.
     bits = [max(0, math.ceil(math.log2(r.n / bucket_rows))) for r in per]
@@ -116,7 +117,7 @@ def mix_sources(
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("known_source"))).drop("known_source")
 
     # Where each document lies in its source's stream.
-    rows = rows.withColumn("bucket", F.expr("shiftright(h, 63 - bits)"))
+    rows = rows.withColumn("bucket", F.expr(f"shiftright(h, {HASH_BITS} - bits)"))
     placed = _running(rows, ["src"], "bucket", ["h", "size", "uid"], F.col("size"), "off")
 
     # The slots: interval lengths leave room for the lattice's discrepancy; slots past a source's last block stay empty.

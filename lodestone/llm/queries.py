@@ -78,5 +78,44 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Removed bytes by 50-byte strings in hexadecimal, one row a byte.
+_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN length(h) // 2 - i >= 50 THEN substr(h, 2 * i + 1, 100) END AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM s WHERE k IS NOT NULL GROUP BY k),
+m AS (SELECT s.doc_id, s.i, s.b, coalesce(f.first < s.doc_id, false) AS mark FROM s LEFT JOIN f ON f.k = s.k),
+c AS (SELECT doc_id, i, b, max(mark::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM m),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS start FROM c),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE start) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""
+
+#: All pairs that share a shingle, and the least document that links reach.
+_NEAR = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT k.a, k.b FROM k JOIN n x ON x.doc_id = k.a JOIN n y ON y.doc_id = k.b WHERE 100 * k.k >= 85 * (x.n + y.n - k.k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(least) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+#: Targets by raising the water, and a document's overlap with the part of its source's repeated stream that is taken.
+_MIX = """
+WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size, ('0x' || substr(md5(doc_id || ':17'), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size / w::DOUBLE, source NULLS LAST) AS r FROM s),
+l AS (SELECT *, 1.5e0 * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM o),
+b AS (SELECT min_by(rest, r) AS rest, min_by(ws, r) AS ws, min(r) AS r FROM l WHERE w * rest / ws <= 2 * source_size),
+t AS (SELECT l.source, l.source_size, CASE WHEN l.r < b.r THEN 2e0 * l.source_size ELSE l.w * b.rest / b.ws END AS target FROM l, b),
+q AS (SELECT *, least(floor(target + 0.5)::BIGINT, 2 * source_size) AS quota FROM t),
+p AS (SELECT d.*, q.source_size, q.target, q.quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, greatest(0, least(size, quota - off)) + greatest(0, least(size, quota - source_size - off)) AS taken FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL where it can express an operator; the others are tested against brute force, round trips or held-out rows."""
+    return {"op4_suffix_dedup": _REPEATS, "op6_minhash_forest": _NEAR, "op7_mix_sources": _MIX}
