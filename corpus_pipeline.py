@@ -17,7 +17,7 @@ from lodestone.llm.langid import UNKNOWN, fold, language_of, learn_samples
 from lodestone.llm.minhash_forest import near_duplicates
 from lodestone.llm.mixing import mix_sources, taken_words
 from lodestone.llm.piece_sampling import encode_sampled
-from lodestone.llm.shared import table
+from lodestone.llm.shared import small_batches, table
 from lodestone.llm.suffix_dedup import remove_repeats
 
 #: A document whose best language is less sure than this is rejected.
@@ -32,6 +32,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     With no such rows, only documents without a letter go.  Kept rows stay as
     they are: the language in the table is not replaced.
     """
+    small_batches(spark)
     samples = learn_samples(docs, "doc_id", "text", "lang", fold(F.col("doc_id"), 3) != 1)
     if not samples:
         return docs.filter(F.col("text").rlike("\\p{L}"))
@@ -41,6 +42,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    small_batches(spark)
     rows = docs.withColumn("__lodestone_uid", F.monotonically_increasing_id())
     found = near_duplicates(rows, id_col="__lodestone_uid", text_col="text")
     ids = rows.select("__lodestone_uid", F.col("doc_id").isNull().alias("__lodestone_none"), F.col("doc_id").alias("__lodestone_id"))
@@ -50,6 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the strings of 50 bytes and more that an earlier document holds; n_chars follows the text."""
+    small_batches(spark)
     out = remove_repeats(docs, id_col="doc_id", text_col="text")
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
@@ -67,6 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, piece_ids, n_pieces, lossless of every row."""
     import public_tokenizers
 
+    small_batches(spark)
     return encode_sampled(docs, public_tokenizers.path(PIECE_MODEL), keep=("lang", "source"))
 
 

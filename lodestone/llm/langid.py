@@ -24,13 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.spans import as_bytes, batches, groups, worker_cache
+from lodestone.llm.spans import as_bytes, batches, groups, trim, worker_cache
 
 MAX_BYTES, MAX_DOCS = 32_000, 64
 LANE = 512
@@ -185,7 +184,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(frozen)
         for batch in parts:
-            for part, data, offsets in batches(batch, "_t", 1 << 22):
+            for part, data, offsets in batches(batch, "_t"):
                 lang, score = _predict(p, data, offsets, part.column(1), evidence)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
@@ -196,13 +195,13 @@ def language_of(samples: dict[str, bytes], evidence: int = EVIDENCE):
     """A column function of a text: a struct of lang_pred and score, as identify() gives them."""
     frozen = tuple(sorted(samples.items()))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def udf(texts: pd.Series) -> pd.DataFrame:
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        data, offsets = as_bytes(column)
-        out = [_predict(parser(frozen), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], column[i:j], evidence) for i, j in groups(offsets, 1 << 22)]
+    @F.arrow_udf("lang_pred string, score double")
+    def udf(texts: pa.Array) -> pa.Array:
+        data, offsets = as_bytes(texts)
+        out = [_predict(parser(frozen), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], texts[i:j], evidence) for i, j in groups(offsets)]
         lang, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, object), np.zeros(0))
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        trim()
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     return udf
 

@@ -265,7 +265,7 @@ def encode_sampled(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(model, sharpness)
         for batch in parts:
-            for part, data, offsets in batches(batch, "_t"):
+            for part, data, offsets in batches(batch, "_t", 1 << 20):
                 seeds = part.column(1).to_numpy().view(np.uint64)
                 ids, bounds = s.sample(data, offsets, seeds)
                 back, ends = s.pieces.decode(ids)

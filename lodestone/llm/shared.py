@@ -51,6 +51,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the session's Arrow batches: those of ten thousand long texts would fill several workers' memory."""
+    if int(spark.conf.get(BATCH_BYTES).rstrip("b")) > most:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
 def table(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: a cut in the lineage that any executor can read.
 
