@@ -93,6 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "kdtree_branches": f"{TILED} SELECT id, lng, lat FROM n WHERE r <> (n - 1) // 2 + 1",
         "quadkey": f"WITH {WIDE} SELECT id, " + ", ".join(f"{quadkey(z)} AS z{z}" for z in (4, 7, 20, 22)) + " FROM places",
         "haversine": f"WITH {WIDE} SELECT id, round({angle('lng', 'lat', '-97.74306e0', '30.26715e0')}, 9) AS angle, round({angle('lat', 'lng', '30.26715e0', '-97.74306e0')}, 9) AS swapped FROM places",
+        "sql_functions": f"WITH {WIDE} SELECT id, lng * lng AS squared, {quadkey(7)} AS z7, {quadkey(21)} AS z21, round({angle('lng', 'lat', '-97.74306e0', '30.26715e0')}, 9) AS angle FROM places",
         "knn_geo": _knn(3),
         "geojson_features": f"""WITH {WIDE} SELECT '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || floor(lng)::INT || ',' || floor(lat)::INT || ']}},"properties":{{"geonameid":' || id || '}}}}' AS feature FROM places""",
         "geojson_collection": """SELECT '{"type":"FeatureCollection","features":[' || string_agg(f, ',' ORDER BY f) || ']}' AS geojson FROM (SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || n_nationkey * 2 || ',' || (n_nationkey - 10) || ']},"properties":{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}}' AS f FROM nation)""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geo as G
 from lodestone.functions import relational as R
+from lodestone.functions.register import register
 from lodestone.operators import chaos, geo, graph, points, process, regression, text
 from lodestone.plans import inputs as I
 from lodestone.sources import geojson
@@ -156,6 +157,11 @@ def geojson_collection(spark: SparkSession, d: str) -> DataFrame:
     return geojson.feature_collection(n)
 
 
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    register(spark)
+    return spark.sql("SELECT id, square(lng) AS squared, quadkey(lng, lat, 7) AS z7, quadkey(lng, lat, 21) AS z21, round(haversine(lng, lat, -97.74306, 30.26715), 9) AS angle FROM {w}", w=I.wide_places(spark, d))
+
+
 # Graphs
 
 
@@ -251,7 +257,7 @@ def lyapunov_lorenz(spark: SparkSession, d: str) -> DataFrame:
 _ALL = [
     grep, word_count, histogram, normalize, square, split, cogroup_counts, group_all, bincond, substring_names, zip_arrays, to_json, ordered_values, stream_through,
     pairwise_dist, corr_integral, corr_sweep, knn_bruteforce, kdtree_forest, kdtree_roots, kdtree_branches, kdtree_search,
-    quadkey, haversine, knn_geo, geojson_features, geojson_collection,
+    quadkey, haversine, sql_functions, knn_geo, geojson_features, geojson_collection,
     symmetrize, degrees, n1_edges, augment, oriented_edges, triangles, triads_consecutive, jaccard_pairs, jaccard, pagerank_init, pagerank_step, pagerank, pagerank_10,
     lm_step, lm_steps, henon_orbit, lyapunov_map, lyapunov_grid, lyapunov_lorenz,
 ]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geo as G
 from lodestone.functions import relational as R
+from lodestone.functions.register import register
 from lodestone.operators import chaos, geo, graph, points, process, regression, text
 from lodestone.session import cut
 from lodestone.sources import geojson, tsv
@@ -105,6 +106,13 @@ def test_haversine_orders(spark):
     assert got[0] == pytest.approx(0.027977824658822228, abs=1e-14) and got[1] == pytest.approx(0.01935061352033848, abs=1e-14)
 
 
+def test_registered_functions(spark):
+    assert set(register(spark)) >= {"square", "quadkey", "lyapunov_henon"}
+    row = spark.sql("SELECT square(3.0), tokens('a, b (c)'), clean_token('The!'), quadkey(-97.699013, 30.265016, 22), quadkey(0, 0, 3)").first()
+    assert list(row) == [9.0, ["a", "b", "c"], "the", "0231301212200330213233", "300"]
+    assert spark.sql("SELECT lyapunov_henon(1.0D, 0.3D)").first()[0] == pytest.approx(-0.16118836, abs=1e-4)
+
+
 def test_tsv_round_trip_pads_and_keeps_quotes(spark, tmp_path):
     (tmp_path / "a.tsv").write_text('x\t1\textra\nNoreen\n"q"\tnot a number\n')
     df = tsv.read_tsv(spark, str(tmp_path / "a.tsv"), "a string, b int")
