@@ -20,7 +20,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,11 +61,11 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
 
 
 def _lattice(edges: np.ndarray):
-    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            i = p["id"].to_numpy()
+            i = p.column(0).to_numpy()
             u = (i % LATTICE) * STEP % LATTICE / LATTICE
-            yield pd.DataFrame({"slot": i, "src": np.minimum(np.searchsorted(edges, u, "right"), len(edges) - 1).astype(np.int32)})
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(np.minimum(np.searchsorted(edges, u, "right"), len(edges) - 1).astype(np.int32))], ["slot", "src"])
 
     return assign
 
@@ -81,9 +81,9 @@ def _running(df: DataFrame, group: list[str], coarse: str, order: list, value: C
 
 
 class Mix:
-    """sizes: uid, doc_id, src, size. sources: a pandas table of src, source, source_size, target, quota. schedule: slot, src, uid, from_word, n_words."""
+    """sizes: uid, doc_id, src, size. sources: dicts of src, source, source_size, target, quota. schedule: slot, src, uid, from_word, n_words."""
 
-    def __init__(self, sizes: DataFrame, sources: pd.DataFrame, schedule: DataFrame):
+    def __init__(self, sizes: DataFrame, sources: list[dict], schedule: DataFrame):
         self.sizes, self.sources, self.schedule = sizes, sources, schedule
 
 
@@ -109,7 +109,7 @@ def mix_sources(
     sizes = [r.source_size for r in per]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], total_share * sum(sizes), most)
     quota = [min(math.floor(t + 0.5), most * s) for t, s in zip(goal, sizes, strict=True)]
-    sources = pd.DataFrame({"src": range(len(per)), "source": [r.source for r in per], "source_size": sizes, "target": goal, "quota": quota})
+    sources = [{"src": k, "source": r.source, "source_size": r.source_size, "target": goal[k], "quota": quota[k]} for k, r in enumerate(per)]
     # A source's hash order is cut into buckets of about bucket_rows documents.
     bits = [max(0, math.ceil(math.log2(r.n / bucket_rows))) for r in per]
     schema = "src int, known_source string, source_size long, target double, quota long, bits int"
@@ -128,7 +128,7 @@ def mix_sources(
     if n_slots > LATTICE:
         raise ValueError("too many slots for the lattice: raise block_words")
     edges = np.cumsum(room) / max(room.sum(), 1)
-    slots = spark.range(n_slots).mapInPandas(_lattice(edges), "slot long, src int")
+    slots = spark.range(n_slots).mapInArrow(_lattice(edges), "slot long, src int")
     slots = slots.withColumn("chunk", F.shiftright("slot", 16))
     slots = _running(slots, ["src"], "chunk", ["slot"], F.lit(1), "rank").select("slot", "src", "rank")
 

@@ -52,7 +52,7 @@ def powers(n: int) -> np.ndarray:
     """The first n powers of the hash base, modulo 2**64."""
     global _POWERS
     if len(_POWERS) < n:
-        p = np.full(max(n, 2 * len(_POWERS), 1024), _BASE, np.uint64)
+        p = np.full(max(1 << (n - 1).bit_length(), 1024), _BASE, np.uint64)
         p[0] = 1
         _POWERS = np.multiply.accumulate(p)
     return _POWERS[:n]
@@ -142,7 +142,7 @@ def inverse_powers(n: int) -> np.ndarray:
     """The first n powers of the hash base's inverse, modulo 2**64."""
     global _INVERSE
     if len(_INVERSE) < n:
-        p = np.full(max(n, 2 * len(_INVERSE), 1024), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+        p = np.full(max(1 << (n - 1).bit_length(), 1024), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
         p[0] = 1
         _INVERSE = np.multiply.accumulate(p)
     return _INVERSE[:n]

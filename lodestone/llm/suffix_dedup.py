@@ -44,7 +44,6 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -56,10 +55,10 @@ from lodestone.llm.spans import Rolling, as_bytes, groups, trim, worker_cache
 LENGTH = 50
 #: A perfect difference set: every shift modulo 13 is the difference of two of its members.
 CYCLE, COVER = 13, (0, 1, 3, 9)
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 BUCKET_NAMES = 2 << 20
 #: Texts are hashed in parts of about so many bytes.
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 18
 BITMAP_BITS = 24
 LAST = (1 << 63) - 1
 
@@ -214,19 +213,19 @@ def distinct_texts(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, int, i
     bitmap[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
     held = rows.sparkSession.sparkContext.broadcast((bounds, bitmap))
 
-    def group(ids: pd.Series) -> np.ndarray:
-        return np.searchsorted(held.value[0], ids.to_numpy(), "right").astype(np.int32)
+    def group(ids: pa.Array) -> np.ndarray:
+        return np.searchsorted(held.value[0], ids.to_numpy(zero_copy_only=False), "right").astype(np.int32)
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series, h1: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def place(ids: pa.Array, h1: pa.Array) -> pa.Array:
         """The group of a text that occurs once, and -1 for one that may occur often."""
-        at = h1.to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+        at = h1.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
         often = (held.value[1][(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-        return pd.Series(np.where(often, np.int32(-1), group(ids)))
+        return pa.array(np.where(often, np.int32(-1), group(ids)))
 
-    @F.pandas_udf("int")
-    def place_least(ids: pd.Series) -> pd.Series:
-        return pd.Series(group(ids))
+    @F.arrow_udf("int")
+    def place_least(ids: pa.Array) -> pa.Array:
+        return pa.array(group(ids))
 
     placed = rows.withColumn("grp", place("id", "h1"))
     once = placed.filter("grp >= 0").select("grp", "h1", "h2", F.col("id").alias("least"), "text")
