@@ -23,6 +23,8 @@ from lodestone.llm.suffix_dedup import remove_repeats
 #: A document whose best language is less sure than this is rejected.
 LEAST_SCORE = 0.3
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Bytes of text that cut_repeats holds in one task: the workers still hold what other stages left.
+GROUP_BYTES = 1 << 20
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the strings of 50 bytes and more that an earlier document holds; n_chars follows the text."""
     small_batches(spark)
-    out = remove_repeats(docs, id_col="doc_id", text_col="text")
+    out = remove_repeats(docs, id_col="doc_id", text_col="text", group_bytes=GROUP_BYTES)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 
