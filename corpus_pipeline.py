@@ -17,7 +17,7 @@ from lodestone.llm.langid import UNKNOWN, fold, language_of, learn_samples
 from lodestone.llm.minhash_forest import near_duplicates
 from lodestone.llm.mixing import mix_sources, taken_words
 from lodestone.llm.piece_sampling import encode_sampled
-from lodestone.llm.shared import small_batches, table
+from lodestone.llm.shared import scratch, small_batches, table
 from lodestone.llm.suffix_dedup import remove_repeats
 
 #: A document whose best language is less sure than this is rejected.
@@ -46,10 +46,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps the document with the least id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
     small_batches(spark)
     rows = docs.withColumn("__lodestone_uid", F.monotonically_increasing_id())
-    found = near_duplicates(rows, id_col="__lodestone_uid", text_col="text")
-    ids = rows.select("__lodestone_uid", F.col("doc_id").isNull().alias("__lodestone_none"), F.col("doc_id").alias("__lodestone_id"))
-    first = found.join(ids, "__lodestone_uid").groupBy("component_id").agg(F.min(F.struct("__lodestone_none", "__lodestone_id", "__lodestone_uid"))["__lodestone_uid"].alias("__lodestone_uid"))
-    return rows.join(table(first.select("__lodestone_uid"), "pipeline-first"), "__lodestone_uid", "left_semi").select(*docs.columns)
+    with scratch(spark) as keep:
+        found = near_duplicates(rows, id_col="__lodestone_uid", text_col="text")
+        ids = rows.select("__lodestone_uid", F.col("doc_id").isNull().alias("__lodestone_none"), F.col("doc_id").alias("__lodestone_id"))
+        best = F.min(F.struct("__lodestone_none", "__lodestone_id", "__lodestone_uid"))["__lodestone_uid"]
+        first = table(found.join(ids, "__lodestone_uid").groupBy("component_id").agg(best.alias("__lodestone_uid")).select("__lodestone_uid"), "pipeline-first")
+        keep(first)
+    return rows.join(first, "__lodestone_uid", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +65,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number; not at all where that is none."""
     rows = docs.withColumn("__lodestone_uid", F.monotonically_increasing_id())
-    taken = taken_words(mix_sources(rows, uid_col="__lodestone_uid"))
-    times = taken.filter("size > 0").select(F.col("uid").alias("__lodestone_uid"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__lodestone_times")).filter("__lodestone_times > 0")
-    out = rows.join(table(times, "pipeline-times"), "__lodestone_uid")
+    with scratch(spark) as keep:
+        taken = taken_words(mix_sources(rows, uid_col="__lodestone_uid"))
+        times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__lodestone_times")
+        taken = table(taken.filter("size > 0").select(F.col("uid").alias("__lodestone_uid"), times).filter("__lodestone_times > 0"), "pipeline-times")
+        keep(taken)
+    out = rows.join(taken, "__lodestone_uid")
     return out.withColumn("__lodestone_copy", F.explode(F.sequence(F.lit(1), F.col("__lodestone_times")))).select(*docs.columns)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import table
+from lodestone.llm.shared import drop, table
 from lodestone.llm.spans import LOWER, Words, batches, chained, mix, worker_cache
 
 TREES, DEPTH, MIDDLE = 16, 8, 6
@@ -337,6 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not found:
             break
         tried = tried.union(more)
+    for done in (nodes, sketch, regions, pairs, sets):
+        drop(done)
     placed = rows.select("_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_id = placed.filter("comp is not null").groupBy("comp").agg(F.min("_id").alias("least_id"))
     out = placed.join(least_id, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("least_id")))

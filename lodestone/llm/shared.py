@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +83,11 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, df._lodestone_path)
 
 
-def parts_for(df_rows: int, per_part: int, least: int = 1) -> int:
-    """Partitions that hold about per_part rows each."""
-    return max(least, -(-df_rows // per_part))
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Removes, at its end, the tables that were written inside, but for those given to the function it yields."""
+    first, kept = len(_made), []
+    yield lambda df: kept.append(df._lodestone_path)
+    for _, path in _made[first:]:
+        if path not in kept:
+            remove(spark, path)

@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import table
+from lodestone.llm.shared import drop, table
 from lodestone.llm.spans import Rolling, as_bytes, groups, trim, worker_cache
 
 LENGTH = 50
@@ -212,6 +212,7 @@ def distinct_texts(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, int, i
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     bitmap[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
     held = rows.sparkSession.sparkContext.broadcast((bounds, bitmap))
+    drop(keys)
 
     def group(ids: pa.Array) -> np.ndarray:
         return np.searchsorted(held.value[0], ids.to_numpy(zero_copy_only=False), "right").astype(np.int32)
