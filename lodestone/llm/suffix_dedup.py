@@ -46,8 +46,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.shared import drop, table
 from lodestone.llm.spans import Rolling, as_bytes, groups, trim, worker_cache
@@ -192,13 +193,17 @@ def _compare(blobs: DataFrame, earlier: bool) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(ordered, "grp int, bucket int, bits binary")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(9)).alias("h2"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(9)).alias("h2"), text.alias("text"), *more)
 
 
-def distinct_texts(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, int, int]:
-    """grp, h1, h2, least, text: each distinct text once, dealt by ranges of its least id; the number of groups and of bytes."""
+def distinct_texts(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """grp, h1, h2, least, text, and rest where rows have it: each distinct text once, dealt by ranges of its least id.
+
+    With them the rows and their groups (-1 and a null rest for texts that may
+    occur often), the number of groups and of bytes.
+    """
     keys = table(rows.select("id", "h1", "h2", F.octet_length("text").alias("size")).groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size")), "suffix-keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_groups = max(1, -(-total // group_bytes))
@@ -229,16 +234,22 @@ def distinct_texts(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, int, i
         return pa.array(group(ids))
 
     placed = rows.withColumn("grp", place("id", "h1"))
-    once = placed.filter("grp >= 0").select("grp", "h1", "h2", F.col("id").alias("least"), "text")
+    carried = ["rest"] if "rest" in rows.columns else []
+    once = placed.filter("grp >= 0").select("grp", "h1", "h2", F.col("id").alias("least"), "text", *carried)
     # All rows of a text are on this side; each task sends a text once.
     copies = placed.filter("grp < 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("text").alias("text"))
-    texts = once.unionByName(copies.select(place_least("least").alias("grp"), "h1", "h2", "least", "text"))
-    return texts.repartition(n_groups, "grp"), n_groups, total
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in carried]
+    texts = once.unionByName(copies.select(place_least("least").alias("grp"), "h1", "h2", "least", "text", *none))
+    return texts.repartition(n_groups, "grp"), placed, n_groups, total
 
 
-def judged_texts(rows: DataFrame, with_text: bool = False, group_bytes: int = GROUP_BYTES, bucket_names: int = BUCKET_NAMES) -> DataFrame:
-    """h1, h2, least, n_bytes, n_removed, n_spans, kept_sha256 of each distinct text, and, if asked, what is kept of those that lose bytes."""
-    texts, _, total = distinct_texts(rows, group_bytes)
+def judged_texts(rows: DataFrame, group_bytes: int = GROUP_BYTES, bucket_names: int = BUCKET_NAMES) -> tuple[DataFrame, DataFrame]:
+    """h1, h2, least, n_bytes, n_removed, n_spans, kept_sha256 of each distinct text; if rows have a column rest, also that and what is kept of the text.
+
+    The second result is the rows with their groups, as distinct_texts() has them.
+    """
+    texts, placed, _, total = distinct_texts(rows, group_bytes)
+    with_text = "rest" in rows.columns
     n_names = max(1, total * len(COVER) // CYCLE)
     bucket_bits = max(0, math.ceil(math.log2(max(1, n_names / bucket_names))))
     name_bits = min(64, max(bucket_bits, math.ceil(math.log2(n_names + 1)) + 10))
@@ -276,8 +287,10 @@ def judged_texts(rows: DataFrame, with_text: bool = False, group_bytes: int = GR
     first = _compare(texts.groupBy("grp").applyInArrow(sample, blob), earlier=False)
     second = _compare(texts.groupBy("grp").cogroup(first.groupBy("grp")).applyInArrow(strings, blob), earlier=True)
     told = first.withColumn("level", F.lit(0)).union(second.withColumn("level", F.lit(1)))
-    schema = "h1 long, h2 long, least long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return texts.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(judge, schema)
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("h1", "h2", "least", "n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+    if with_text:
+        schema = schema.add("kept", T.StringType()).add("rest", rows.schema["rest"].dataType)
+    return texts.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(judge, schema), placed
 
 
 def _finisher(with_text: bool) -> Callable[..., pa.Table]:
@@ -291,9 +304,9 @@ def _finisher(with_text: bool) -> Callable[..., pa.Table]:
             lost.append(int(m.sum()))
             spans.append(int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()))
             sha.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest.decode("utf-8", "ignore") if with_text and lost[-1] else None)
+            kept.append(rest.decode("utf-8", "ignore") if with_text else None)
         out = {**{c: t[c].cast(pa.int64()) for c in ("h1", "h2", "least")}, "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        return pa.table(out | ({"kept": pa.array(kept, pa.string())} if with_text else {}))
+        return pa.table(out | ({"kept": pa.array(kept, pa.string()), "rest": t["rest"]} if with_text else {}))
 
     return finish
 
@@ -304,7 +317,7 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """One row a document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = _keyed(docs, id_col, text_col)
-    own = rows.select("id", "h1", "h2").join(judged_texts(rows, **options), ["h1", "h2"])
+    own = rows.select("id", "h1", "h2").join(judged_texts(rows, **options)[0], ["h1", "h2"])
     copy = (F.col("id") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
     kind = docs.schema[id_col].dataType
     return own.select(
@@ -319,12 +332,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A text that loses nothing stays as it is (null too); of a character that
     loses some of its bytes, none are kept.
     """
-    rows = _keyed(docs, id_col, text_col)
-    judged = judged_texts(rows, with_text=True, **options)
-    judged = judged.select(F.col("h1").alias("__lodestone_h1"), F.col("h2").alias("__lodestone_h2"), F.col("least").alias("__lodestone_least"), F.col("n_bytes").alias("__lodestone_n"), (F.col("n_removed") > 0).alias("__lodestone_cut"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("__lodestone_kept"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({"__lodestone_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__lodestone_h1": F.xxhash64(text), "__lodestone_h2": F.xxhash64(text, F.lit(9))})
-    out = out.join(judged, ["__lodestone_h1", "__lodestone_h2"])
-    copy = (F.col("__lodestone_id") > F.col("__lodestone_least")) & (F.col("__lodestone_n") >= LENGTH)
-    return out.withColumn(text_col, F.when(copy, F.lit("")).when(F.col("__lodestone_cut"), F.col("__lodestone_kept")).otherwise(F.col(text_col))).select(*docs.columns)
-
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(F.col(text_col).isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    rows = _keyed(docs, id_col, text_col, rest.alias("rest"))
+    judged, placed = judged_texts(rows, **options)
+
+    def restored(df: DataFrame, text: Column) -> DataFrame:
+        text = F.when(~F.col("rest.none") | (F.col("n_removed") > 0), text)
+        at = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {text_col: text}
+        return df.select(*[at[c].alias(c) for c in docs.columns])
+
+    # A text that occurs once brings its row's columns along; only rows of the others are joined.
+    once = restored(judged.filter("rest is not null"), F.col("kept"))
+    found = judged.filter("rest is null").select("h1", "h2", "least", "n_bytes", "n_removed", "kept")
+    copies = placed.filter("grp < 0").select("id", "h1", "h2", "rest").join(found, ["h1", "h2"])
+    gone = (F.col("id") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
+    return once.unionByName(restored(copies, F.when(gone, F.lit("")).otherwise(F.col("kept"))))
