@@ -49,6 +49,8 @@ SHINGLE, THRESHOLD = 5, 80
 REGION_ROWS = 4096
 SKETCH_LEAST = 0.72
 BITMAP_BITS = 27
+#: Pairs (16 bytes each) up to this count are broadcast.
+BROADCAST_PAIRS = 100_000
 #: Bytes of an Arrow batch of texts or sets.
 BATCH = 8 << 20
 
@@ -286,9 +288,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # Few pairs go to the sets; many meet them in a shuffle.
+    pairs = pairs.select("a", "b")
+    if pairs.count() <= BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
