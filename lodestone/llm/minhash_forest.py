@@ -16,9 +16,10 @@ standard errors below the threshold) go.  Links are confirmed on the full sets:
 first each node's likeliest candidates, at last all candidates whose ends are not
 connected yet.  In regions with more nodes than a node has neighbours, the
 sketches of nodes outside the region's largest component are then compared with
-all all its other components, in blocks, and the likeliest pairs of each node
-confirmed, and once more where that joined some.  Sets are computed from the texts again, for nodes in a candidate
-pair only: a bitmap of fixed size, which any number of nodes may fill, lets a
+those of all its other components, in blocks, and every pair that agrees enough
+is compared on its full sets, unless its ends are connected by then.
+Sets are computed from the texts again, for nodes in a candidate
+pair or such a region only: a bitmap of fixed size, which any number of nodes may fill, lets a
 worker leave out the others.
 
 Defined results: texts that are null or hold no word have the empty set, link to
@@ -40,7 +41,7 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.components import components
 from lodestone.llm.shared import drop, table
-from lodestone.llm.spans import LOWER, Words, batches, chained, mix, worker_cache
+from lodestone.llm.spans import LOWER, Words, batches, chained, mix, trim, worker_cache
 
 TREES, DEPTH, MIDDLE = 16, 8, 6
 MISSED = 2e-5
@@ -189,26 +190,50 @@ def likely(pairs: DataFrame, sketch: DataFrame, least: float = SKETCH_LEAST) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(agree, "a long, b long, agree int")
 
 
-def _cross(node: np.ndarray, comp: np.ndarray, sketch: np.ndarray, least: float, ranks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """In one region: for each node outside its largest component, its likeliest partners in other components, of these ranks."""
+def _wanted(comp: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
+    """In one region: mask of the nodes whose sketch agrees enough with that of a node in another component."""
     _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
     outside = np.flatnonzero(comp != size.argmax())
-    ends = []
+    out = np.zeros(len(comp), bool)
     for block in np.array_split(outside, -(-len(outside) // 64)) if len(outside) else []:
-        same = (sketch[block][:, None, :] == sketch[None, :, :]).sum(2)
-        same[comp[block][:, None] == comp[None, :]] = -1
-        best = np.argsort(-same, axis=1, kind="stable")[:, ranks[0] : ranks[1]]
-        good = np.take_along_axis(same, best, 1) >= least * sketch.shape[1]
-        ends.append(np.stack([np.repeat(node[block], best.shape[1])[good.ravel()], node[best][good]]))
-    a, b = np.concatenate(ends, 1) if ends else np.zeros((2, 0), np.int64)
+        good = (sketch[block][:, None, :] == sketch[None, :, :]).sum(2) >= least * sketch.shape[1]
+        good &= comp[block][:, None] != comp[None, :]
+        out[block] |= good.any(1)
+        out |= good.any(0)
+    return out
+
+
+def _links(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """In one region: links that join all components between which full sets are near enough, found by an inverted index."""
+    _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
+    n = np.array([len(s) for s in sets])
+    at = np.cumsum(n) - n
+    _, term, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(len(sets)), n)[np.argsort(term, kind="stable")]
+    start = np.cumsum(count) - count
+    ends = []
+    for i in np.flatnonzero(comp != size.argmax()).tolist():
+        both = np.zeros(len(sets), np.int64)
+        for k in range(at[i], at[i] + n[i], 4096):
+            mine = term[k : min(k + 4096, at[i] + n[i])]
+            c = count[mine]
+            both += np.bincount(holder[np.repeat(start[mine] - (np.cumsum(c) - c), c) + np.arange(c.sum())], minlength=len(sets))
+        for j in np.flatnonzero((100 * both >= percent * (n + n[i] - both)) & (comp != comp[i])).tolist():
+            if comp[j] != comp[i]:
+                ends.append((node[i], node[j]))
+                comp[comp == comp[j]] = comp[i]
+    a, b = np.array(ends, np.int64).reshape(-1, 2).T
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, least: float, ranks: tuple[int, int]) -> DataFrame:
-    """Likely pairs a < b across components, inside the regions that hold more nodes than a node has neighbours.
+def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links a < b across components, inside the regions that hold more nodes than a node has neighbours.
 
     A region holds region_rows nodes at most, so that one task compares its
-    sketches in blocks; what it gives grows with the nodes.
+    sketches in blocks.  The nodes of pairs that agree enough meet again with
+    their full sets, and every such pair is compared whose ends are not
+    connected by then.  What goes to a region and what it gives grows with its
+    nodes, not with its pairs.
     """
     rows = dense.join(comp, "node", "left").select("region", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = rows.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
@@ -220,11 +245,10 @@ def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, least: float,
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                t = pa.Table.from_batches(held)
+                t = pa.Table.from_batches(held).combine_chunks()
                 sig = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1)
-                a, b = _cross(t["node"].to_numpy(), t["comp"].to_numpy(), sig, least, ranks)
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield from t.select(["region", "node", "comp"]).filter(pa.array(_wanted(t["comp"].to_numpy(), sig, least))).to_batches()
 
         last = None
         for batch in batches_:
@@ -237,8 +261,15 @@ def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, least: float,
                 last = region[i]
         yield from flush()
 
+    def link(t: pa.Table) -> pa.Table:
+        worker_cache("minhash_forest")
+        trim()
+        a, b = _links(t["node"].to_numpy(), t["comp"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]], percent)
+        return pa.table({"a": a, "b": b})
+
     rows = rows.select("region", "node", "comp", "sketch").repartition(parts, "region").sortWithinPartitions("region")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    wanted = table(rows.mapInArrow(run, "region long, node long, comp long"), "forest-wanted", BATCH)
+    return wanted.join(sets, "node").select("region", "node", "comp", "shingles").groupBy("region").applyInArrow(link, "a long, b long").distinct()
 
 
 def _bitmap(ends: DataFrame, bits: int) -> np.ndarray:
@@ -302,10 +333,10 @@ def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(links if comp is None else links.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
 
-def _linked(comp: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """Components after further links, and whether there were any."""
+def _linked(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links."""
     links = table(links, "forest-links", BATCH)
-    return (comp, False) if links.isEmpty() else (_joined(comp, links), True)
+    return comp if links.isEmpty() else _joined(comp, links)
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -332,17 +363,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = table(both.withColumn("rank", rank).filter("rank <= 2").select("a", "b").distinct(), "forest-ends")
     comp = _joined(None, table(confirmed(tried, sets, percent), "forest-links", BATCH))
     rest = table(_apart(pairs.join(tried, ["a", "b"], "left_anti"), comp), "forest-ends")
-    comp = _linked(comp, confirmed(rest, sets, percent))[0]
-    tried = tried.union(rest)
-    # In dense regions neighbours are few of all: look further between components, and once more where that joined some.
-    for ranks in ((0, 12), (0, 6)):
-        if dense.isEmpty():
-            break
-        more = table(crossing(dense, comp, sketch, least, ranks).join(tried, ["a", "b"], "left_anti"), "forest-ends")
-        comp, found = _linked(comp, confirmed(more, sets, percent))
-        if not found:
-            break
-        tried = tried.union(more)
+    comp = _linked(comp, confirmed(rest, sets, percent))
+    # In dense regions neighbours are few of all: compare all that is still apart there.
+    if not dense.isEmpty():
+        comp = _linked(comp, crossing(dense, comp, sketch, sets, least, percent))
     for done in (nodes, sketch, regions, pairs, sets):
         drop(done)
     placed = rows.select("_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
