@@ -4,7 +4,7 @@ A document is the set of its distinct word shingles (64-bit hashes).  Documents
 with equal sets are one node from the start.  A node has `TREES` signature
 orders of `DEPTH` MinHash values each.  In each order, nodes that share the
 first few values are a region (so few that a pair at the threshold misses all
-regions with a chance of at most `MISSED`); a region with more than `region_rows` nodes
+regions with a chance of at most `MISSED`); to sort its nodes, a region with more than `region_rows` nodes
 is cut at greater depth, and by the node's hash at full depth.  Inside a region
 nodes are sorted by the rest of their values, so that those with the longest
 common prefix stand side by side; a node's candidates are its next
@@ -17,7 +17,8 @@ first each node's likeliest candidates, at last all candidates whose ends are no
 connected yet.  In regions with more nodes than a node has neighbours, the
 sketches of nodes outside the region's largest component are then compared with
 those of all its other components, in blocks, and every pair that agrees enough
-is compared on its full sets, unless its ends are connected by then.
+is compared on its full sets, unless its ends are connected by then.  For this a
+region that was cut is whole again: all its blocks meet, two in a task.
 Sets are computed from the texts again, for nodes in a candidate
 pair or such a region only: a bitmap of fixed size, which any number of nodes may fill, lets a
 worker leave out the others.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -134,7 +135,7 @@ def least_depth(percent: int) -> int:
 
 
 def regions_of(nodes: DataFrame, depth: int, region_rows: int = REGION_ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """node, region, n (its nodes), others (the node's candidates there), for each order in which the node has company."""
+    """node, region, n (its nodes), others (the node's candidates there), whole (the region before it was cut, else null), for each order in which the node has company."""
     rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
     rows = rows.select("node", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("vals"))
 
@@ -151,10 +152,10 @@ def regions_of(nodes: DataFrame, depth: int, region_rows: int = REGION_ROWS, nei
     middle = dense(inside, "k2").select("k2", F.col("least").alias("hub2"), F.ceil(F.col("n") / region_rows).alias("cuts"))
     rows = rows.join(wide, "k1", "left").join(middle, "k2", "left")
     region = F.when(F.col("hub1").isNull(), F.col("k1")).when(F.col("hub2").isNull(), F.col("k2")).otherwise(F.xxhash64("k3", F.pmod("node", "cuts")))
-    rows = rows.select("node", "vals", "hub1", "hub2", region.alias("region"))
+    rows = rows.select("node", "vals", "hub1", "hub2", region.alias("region"), F.when(F.col("hub1").isNotNull(), F.col("k1")).alias("whole"))
     by, whole = Window.partitionBy("region").orderBy("vals", "node"), Window.partitionBy("region")
     near = [F.lead("node", k).over(by) for k in range(1, neighbours + 1)]
-    rows = rows.select("node", "region", F.count(F.lit(1)).over(whole).alias("n"), F.array(F.min("node").over(whole), "hub1", "hub2", *near).alias("others"))
+    rows = rows.select("node", "region", "whole", F.count(F.lit(1)).over(whole).alias("n"), F.array(F.min("node").over(whole), "hub1", "hub2", *near).alias("others"))
     return table(rows.filter("n > 1 or others[1] is not null"), "forest-regions")
 
 
@@ -190,10 +191,15 @@ def likely(pairs: DataFrame, sketch: DataFrame, least: float = SKETCH_LEAST) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(agree, "a long, b long, agree int")
 
 
-def _wanted(comp: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
-    """In one region: mask of the nodes whose sketch agrees enough with that of a node in another component."""
+def _asking(comp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components by number, and the rows to compare with the others: those of side 1, and where no row has a side, those outside the largest component."""
     _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
-    outside = np.flatnonzero(comp != size.argmax())
+    return comp, np.flatnonzero(comp != size.argmax() if side[0] < 0 else side == 1)
+
+
+def _wanted(comp: np.ndarray, sketch: np.ndarray, side: np.ndarray, least: float) -> np.ndarray:
+    """In one task: mask of the nodes whose sketch agrees enough with that of a node in another component."""
+    comp, outside = _asking(comp, side)
     out = np.zeros(len(comp), bool)
     for block in np.array_split(outside, -(-len(outside) // 64)) if len(outside) else []:
         good = (sketch[block][:, None, :] == sketch[None, :, :]).sum(2) >= least * sketch.shape[1]
@@ -203,16 +209,16 @@ def _wanted(comp: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
-def _links(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """In one region: links that join all components between which full sets are near enough, found by an inverted index."""
-    _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
+def _links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """In one task: links that join all components between which full sets are near enough, found by an inverted index."""
+    comp, outside = _asking(comp, side)
     n = np.array([len(s) for s in sets])
     at = np.cumsum(n) - n
     _, term, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     holder = np.repeat(np.arange(len(sets)), n)[np.argsort(term, kind="stable")]
     start = np.cumsum(count) - count
     ends = []
-    for i in np.flatnonzero(comp != size.argmax()).tolist():
+    for i in outside.tolist():
         both = np.zeros(len(sets), np.int64)
         for k in range(at[i], at[i] + n[i], 4096):
             mine = term[k : min(k + 4096, at[i] + n[i])]
@@ -226,16 +232,43 @@ def _links(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent:
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+def _tasks(rows: DataFrame, region_rows: int) -> DataFrame:
+    """region (here a task's name), node, comp, side: each region of up to region_rows nodes in one task (side -1), others in tasks that meet all pairs of blocks.
+
+    In a larger region the nodes outside its largest component (side 1) are
+    dealt into chunks, all its nodes (side 0) into blocks, and each chunk meets
+    each block, so that any two nodes that are apart meet.
+    """
+    small = rows.filter("whole is null").select("region", "node", "comp", F.lit(-1).alias("side"))
+    large = rows.filter("whole is not null").select("whole", "node", "comp")
+    size = large.groupBy("whole", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("whole").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("main"))
+    size = size.filter(F.col("n") > F.col("main.c")).select(
+        "whole", F.col("main.comp").alias("main"), F.ceil(F.col("n") / region_rows).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("main.c")) / region_rows).cast("int").alias("chunks")
+    )
+    # So few that they are broadcast: a region of this size has region_rows nodes at least.
+    large = large.join(F.broadcast(size), "whole")
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(count)), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    members = large.withColumn("block", own("blocks")).withColumn("chunk", every("chunks")).withColumn("side", F.lit(0))
+    asking = large.filter("comp <> main").withColumn("chunk", own("chunks")).withColumn("block", every("blocks")).withColumn("side", F.lit(1))
+    return small.union(members.unionByName(asking).select(F.xxhash64("whole", "chunk", "block").alias("region"), "node", "comp", "side"))
+
+
+def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, sets: DataFrame, least: float, percent: int, region_rows: int = REGION_ROWS) -> DataFrame:
     """Links a < b across components, inside the regions that hold more nodes than a node has neighbours.
 
-    A region holds region_rows nodes at most, so that one task compares its
+    A task holds a region, or two blocks of a large one, and compares its
     sketches in blocks.  The nodes of pairs that agree enough meet again with
     their full sets, and every such pair is compared whose ends are not
-    connected by then.  What goes to a region and what it gives grows with its
+    connected by then.  What goes to a task and what it gives grows with its
     nodes, not with its pairs.
     """
-    rows = dense.join(comp, "node", "left").select("region", "node", F.coalesce("comp", "node").alias("comp"))
+    rows = _tasks(dense.join(comp, "node", "left").select("region", "whole", "node", F.coalesce("comp", "node").alias("comp")), region_rows)
     mixed = rows.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
     rows = rows.join(mixed, "region").join(sketch, "node")
     parts = max(1, dense.rdd.getNumPartitions())
@@ -248,7 +281,7 @@ def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, sets: DataFra
                 t = pa.Table.from_batches(held).combine_chunks()
                 sig = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1)
                 held.clear()
-                yield from t.select(["region", "node", "comp"]).filter(pa.array(_wanted(t["comp"].to_numpy(), sig, least))).to_batches()
+                yield from t.select(["region", "node", "comp", "side"]).filter(pa.array(_wanted(t["comp"].to_numpy(), sig, t["side"].to_numpy(), least))).to_batches()
 
         last = None
         for batch in batches_:
@@ -264,12 +297,12 @@ def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, sets: DataFra
     def link(t: pa.Table) -> pa.Table:
         worker_cache("minhash_forest")
         trim()
-        a, b = _links(t["node"].to_numpy(), t["comp"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]], percent)
+        a, b = _links(t["node"].to_numpy(), t["comp"].to_numpy(), t["side"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]], percent)
         return pa.table({"a": a, "b": b})
 
-    rows = rows.select("region", "node", "comp", "sketch").repartition(parts, "region").sortWithinPartitions("region")
-    wanted = table(rows.mapInArrow(run, "region long, node long, comp long"), "forest-wanted", BATCH)
-    return wanted.join(sets, "node").select("region", "node", "comp", "shingles").groupBy("region").applyInArrow(link, "a long, b long").distinct()
+    rows = rows.select("region", "node", "comp", "side", "sketch").repartition(parts, "region").sortWithinPartitions("region")
+    wanted = table(rows.mapInArrow(run, "region long, node long, comp long, side int"), "forest-wanted", BATCH)
+    return wanted.join(sets, "node").select("region", "node", "comp", "side", "shingles").groupBy("region").applyInArrow(link, "a long, b long").distinct()
 
 
 def _bitmap(ends: DataFrame, bits: int) -> np.ndarray:
@@ -353,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Written, so that no task runs this function and another one behind it.
     sketch = table(sketches(nodes), "forest-sketches", BATCH)
     regions = regions_of(nodes, least_depth(percent), region_rows)
-    dense = regions.filter(F.col("n") > 2 * NEIGHBOURS + 1).select("region", "node")
+    dense = regions.filter((F.col("n") > 2 * NEIGHBOURS + 1) | F.col("whole").isNotNull()).select("region", "whole", "node")
     pairs = table(likely(pairs_of(regions), sketch, least), "forest-pairs")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node"))
     sets = table(full_sets(docs, text_col, shingle, _bitmap(compared, BITMAP_BITS)), "forest-sets", BATCH)
@@ -366,7 +399,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = _linked(comp, confirmed(rest, sets, percent))
     # In dense regions neighbours are few of all: compare all that is still apart there.
     if not dense.isEmpty():
-        comp = _linked(comp, crossing(dense, comp, sketch, sets, least, percent))
+        comp = _linked(comp, crossing(dense, comp, sketch, sets, least, percent, region_rows))
     for done in (nodes, sketch, regions, pairs, sets):
         drop(done)
     placed = rows.select("_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -21,3 +21,9 @@ def test_templates_do_not_hide_pairs(spark):
     lost = [i for i in range(120) if got[i] != i - i % 2]
     # The sketch bound and the regions may lose about 1e-4 of such pairs, so none of 60.
     assert not lost and all(got[i] == i for i in range(120, 600))
+
+
+def test_large_regions_are_compared_whole(spark):
+    docs = spark.createDataFrame(_templated(300, 60), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(docs, shingle=1, percent=80, region_rows=20).collect()}
+    assert not [i for i in range(120) if got[i] != i - i % 2] and all(got[i] == i for i in range(120, 300))
