@@ -15,7 +15,11 @@ by their first `LENGTH` bytes, as a difference-cover suffix sort does it:
    of names suffices and the recursion ends there.
 3. Remaining suffixes.  Only places whose string holds a shared name go on.  The
    names of their first `LENGTH` bytes are sorted in buckets, and neighbours
-   compared: each group learns which of its names an earlier group holds.
+   compared: each group learns which of its names another, and which an earlier
+   group holds.
+4. Check.  The strings of names that another group holds too are compared again,
+   by independent hashes of 64 bits.  A string goes only if both comparisons
+   find it in an earlier group.
 
 Texts are grouped by ranges of their least id, so that "earlier" is a comparison
 of group numbers, and inside a group the texts are at hand.  What is shuffled is
@@ -27,9 +31,9 @@ of fixed size tells, are shuffled once only.
 
 Names are hashes.  Those of tuples are cut to the bits that tell most of them
 apart, as a clash costs time only.  A string's name has one bit less than twice
-the bits that count all texts' bytes, 64 at most; if a share s of the bytes is a
-candidate, the chance that any two strings clash is about s * s up to 4 GB, and
-grows as the square of the strings beyond.
+the bits that count all texts' bytes, 64 at most; a string that no earlier group
+holds is lost only if its name and its second hash both clash with one there
+(of one group, with the same string's).
 
 Defined results: null is the empty text; texts under `LENGTH` bytes lose
 nothing; null ids come after all others; rows that repeat an id are not earlier
@@ -51,7 +55,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.shared import drop, table
-from lodestone.llm.spans import Rolling, as_bytes, groups, trim, worker_cache
+from lodestone.llm.spans import SECOND, Rolling, as_bytes, groups, trim, worker_cache
 
 LENGTH = 50
 #: A perfect difference set: every shift modulo 13 is the difference of two of its members.
@@ -131,12 +135,37 @@ class Group:
         self.strings, self.string_of = np.unique(names, return_inverse=True)
         return self.strings, places
 
-    def removed(self, earlier: np.ndarray) -> np.ndarray:
-        """Mask of the bytes that go; `earlier` tells of each distinct string whether an earlier group holds it."""
-        ids = self.least[self.text_of(self.places)]
-        least = np.full(len(self.strings), LAST)
-        np.minimum.at(least, self.string_of, ids)
-        go = self.places[earlier[self.string_of] | (least[self.string_of] < ids)]
+    def second(self, at: np.ndarray) -> np.ndarray:
+        """Independent hashes of the strings at these (ascending) places."""
+        out = np.empty(len(at), np.uint64)
+        for i, j in groups(self.offsets, PART_BYTES):
+            a, b = np.searchsorted(at, [self.offsets[i], self.offsets[j]])
+            if b > a:
+                out[a:b] = Rolling(self.data[self.offsets[i] : self.offsets[j]], SECOND).windows(at[a:b] - self.offsets[i], LENGTH)
+        return out
+
+    def checks(self, shared: np.ndarray) -> np.ndarray:
+        """Distinct second hashes of the strings whose name is `shared` with another group."""
+        self.asked = np.flatnonzero(shared[self.string_of])
+        found, self.check_of = np.unique(self.second(self.places[self.asked]), return_inverse=True)
+        return found
+
+    def removed(self, earlier: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """Mask of the bytes that go; `earlier` tells of each distinct string's name, `again` of each of checks(), whether an earlier group holds it."""
+        go = np.zeros(len(self.places), bool)
+        go[self.asked] = earlier[self.string_of[self.asked]] & again[self.check_of]
+        # Strings that repeat in this group: equal name and equal second hash.
+        often = np.flatnonzero(np.bincount(self.string_of, minlength=len(self.strings))[self.string_of] > 1)
+        if len(often):
+            name, check = self.string_of[often], self.second(self.places[often])
+            order = np.lexsort((check, name))
+            own = np.empty(len(often), np.int64)
+            own[order] = np.cumsum(np.concatenate([[0], (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])]))
+            ids = self.least[self.text_of(self.places[often])]
+            least = np.full(own.max() + 1, LAST)
+            np.minimum.at(least, own, ids)
+            go[often] |= least[own] < ids
+        go = self.places[go]
         cover = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(cover, go, 1)
         np.subtract.at(cover, go + LENGTH, 1)
@@ -155,8 +184,9 @@ def _blobs(grp: int, names: np.ndarray, bits: int, bucket_bits: int) -> pa.Table
     return pa.table({"bucket": pa.array(full.astype(np.int32)), "grp": pa.array(np.full(len(full), grp, np.int32)), "blob": pa.array([pack(names[cuts[k] : cuts[k + 1]]) for k in full], pa.binary())})
 
 
-def _told(right: pa.Table, names: np.ndarray, bits: int, bucket_bits: int) -> np.ndarray:
-    """The bits that came back, by name."""
+def _told(right: pa.Table, level: int, names: np.ndarray, bits: int, bucket_bits: int) -> np.ndarray:
+    """The bits of a level that came back, by name."""
+    right = right.filter(pa.array(right["level"].to_numpy() == level))
     out = np.zeros(len(names), bool)
     cuts = _split(names, bits, bucket_bits)
     for bucket, told in zip(right["bucket"].to_pylist(), right["bits"].to_pylist(), strict=True):
@@ -165,8 +195,8 @@ def _told(right: pa.Table, names: np.ndarray, bits: int, bucket_bits: int) -> np
     return out
 
 
-def _compare(blobs: DataFrame, earlier: bool) -> DataFrame:
-    """Sorts each bucket's names and compares neighbours: grp, bucket and one bit a name, set if another (an earlier) group holds it."""
+def _compare(blobs: DataFrame, levels: dict[int, bool]) -> DataFrame:
+    """Sorts each bucket's names and compares neighbours: for each level grp, bucket, level and one bit a name, set if another (if the level's value is true, an earlier) group holds it."""
 
     def run(t: pa.Table) -> pa.Table:
         worker_cache("suffix_dedup")
@@ -178,19 +208,23 @@ def _compare(blobs: DataFrame, earlier: bool) -> DataFrame:
         order = np.argsort(names, kind="stable")
         s = names[order]
         same = s[1:] == s[:-1]
-        hit = np.zeros(len(s), bool)
-        hit[1:] = same
-        if not earlier:
-            hit[:-1] |= same
-        told = np.empty(len(s), bool)
-        told[order] = hit
         at = np.cumsum(n) - n
-        return pa.table({"grp": t["grp"].cast(pa.int32()), "bucket": t["bucket"].cast(pa.int32()), "bits": pa.array([np.packbits(told[a : a + k]).tobytes() for a, k in zip(at, n, strict=True)], pa.binary())})
+        out = []
+        for level, earlier in levels.items():
+            hit = np.zeros(len(s), bool)
+            hit[1:] = same
+            if not earlier:
+                hit[:-1] |= same
+            told = np.empty(len(s), bool)
+            told[order] = hit
+            bits = pa.array([np.packbits(told[a : a + k]).tobytes() for a, k in zip(at, n, strict=True)], pa.binary())
+            out.append(pa.table({"grp": t["grp"].cast(pa.int32()), "bucket": t["bucket"].cast(pa.int32()), "level": pa.array(np.full(len(n), level, np.int32)), "bits": bits}))
+        return pa.concat_tables(out)
 
     def ordered(t: pa.Table) -> pa.Table:
         return run(t.sort_by("grp"))
 
-    return blobs.groupBy("bucket").applyInArrow(ordered, "grp int, bucket int, bits binary")
+    return blobs.groupBy("bucket").applyInArrow(ordered, "grp int, bucket int, level int, bits binary")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -269,24 +303,33 @@ def judged_texts(rows: DataFrame, group_bytes: int = GROUP_BYTES, bucket_names:
         if not len(t):
             return _blobs(0, np.zeros(0, np.uint64), string_bits, bucket_bits)
         g = load(t)
-        g.candidates(_told(told, g.names, name_bits, bucket_bits))
+        g.candidates(_told(told, 0, g.names, name_bits, bucket_bits))
         return _blobs(t["grp"][0].as_py(), g.strings, string_bits, bucket_bits)
 
+    def checks(t: pa.Table, told: pa.Table) -> pa.Table:
+        worker_cache("suffix_dedup")
+        trim()
+        if not len(t):
+            return _blobs(0, np.zeros(0, np.uint64), 64, bucket_bits)
+        g = load(t)
+        g.candidates(_told(told, 0, g.names, name_bits, bucket_bits))
+        return _blobs(t["grp"][0].as_py(), g.checks(_told(told, 1, g.strings, string_bits, bucket_bits)), 64, bucket_bits)
+
     def judge(t: pa.Table, told: pa.Table) -> pa.Table:
         worker_cache("suffix_dedup")
         trim()
         if not len(t):
             return finish(t, None)
         g = load(t)
-        level = told["level"].to_numpy()
-        g.candidates(_told(told.filter(pa.array(level == 0)), g.names, name_bits, bucket_bits))
-        return finish(t, g, g.removed(_told(told.filter(pa.array(level == 1)), g.strings, string_bits, bucket_bits)))
+        g.candidates(_told(told, 0, g.names, name_bits, bucket_bits))
+        checked = g.checks(_told(told, 1, g.strings, string_bits, bucket_bits))
+        return finish(t, g, g.removed(_told(told, 2, g.strings, string_bits, bucket_bits), _told(told, 3, checked, 64, bucket_bits)))
 
     finish = _finisher(with_text)
     blob = "bucket int, grp int, blob binary"
-    first = _compare(texts.groupBy("grp").applyInArrow(sample, blob), earlier=False)
-    second = _compare(texts.groupBy("grp").cogroup(first.groupBy("grp")).applyInArrow(strings, blob), earlier=True)
-    told = first.withColumn("level", F.lit(0)).union(second.withColumn("level", F.lit(1)))
+    first = _compare(texts.groupBy("grp").applyInArrow(sample, blob), {0: False})
+    second = first.union(_compare(texts.groupBy("grp").cogroup(first.groupBy("grp")).applyInArrow(strings, blob), {1: False, 2: True}))
+    told = second.union(_compare(texts.groupBy("grp").cogroup(second.groupBy("grp")).applyInArrow(checks, blob), {3: True}))
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("h1", "h2", "least", "n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
     if with_text:
         schema = schema.add("kept", T.StringType()).add("rest", rows.schema["rest"].dataType)
