@@ -22,6 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: Byte values of window hashes.
+FIRST = np.random.default_rng(20240302).integers(0, 2**64, 256, dtype=np.uint64)
 #: A second table, for hashes that don't clash where those of the first do.
 SECOND = np.random.default_rng(20240301).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -153,7 +155,7 @@ def inverse_powers(n: int) -> np.ndarray:
 class Rolling:
     """Hashes of spans of one width anywhere in a byte array, from prefix sums modulo 2**64; equal spans of any arrays hash alike."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = _RANDOM):
+    def __init__(self, data: np.ndarray, values: np.ndarray = FIRST):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values[data] * powers(n), out=self.sums[1:])

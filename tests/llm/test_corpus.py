@@ -126,13 +126,6 @@ def test_repeats_of_the_tables_in_many_groups(spark):
     assert Counter(map(tuple, got.collect())) == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_names_pack_and_unpack():
-    draw = np.random.default_rng(3)
-    for names in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.unique(draw.integers(0, 2**63, 1000, dtype=np.uint64)), np.arange(5, dtype=np.uint64)):
-        if len(names):
-            assert (suffix_dedup.unpack(suffix_dedup.pack(names)) == names).all()
-
-
 def test_cover_reaches_every_shift():
     v, d = suffix_dedup.CYCLE, suffix_dedup.COVER
     assert {(a - b) % v for a in d for b in d} == set(range(v))
