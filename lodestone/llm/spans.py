@@ -94,6 +94,25 @@ def groups(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges i, j of whole texts and of their bytes, of about `limit` bytes; a longer text alone (j = i + 1) comes in several, each cut before white space (a word is never cut)."""
+    for i, j in groups(offsets, limit):
+        lo, end = int(offsets[i]), int(offsets[j])
+        if end - lo <= 2 * limit:
+            yield i, j, lo, end
+            continue
+        while lo < end:
+            hi = min(lo + limit, end)
+            while hi < end:
+                gap = np.flatnonzero(WS[data[hi : min(hi + 4096, end)]])
+                if len(gap):
+                    hi += int(gap[0])
+                    break
+                hi = min(hi + 4096, end)
+            yield i, j, lo, hi
+            lo = hi
+
+
 class Words:
     """Words of a group of texts: starts, ends (byte positions), text number, and words per text."""
 
@@ -125,18 +144,39 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
+#: Bytes of spans that are hashed at once.
+SPAN_BYTES = 1 << 22
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans that don't overlap and are in order; empty spans hash to one value."""
     out = np.zeros(len(starts), np.uint64)
     lengths = ends - starts
+    total = np.cumsum(lengths)
+    i = 0
+    while i < len(starts):
+        before = int(total[i] - lengths[i])
+        j = max(i + 1, int(np.searchsorted(total, before + SPAN_BYTES, "right")))
+        if lengths[i] > SPAN_BYTES:
+            out[i] = sum((_span_sums(data, starts[i : i + 1] + k, np.minimum(lengths[i : i + 1] - k, SPAN_BYTES), k)[0] for k in range(0, int(lengths[i]), SPAN_BYTES)), np.uint64(0))
+            j = i + 1
+        else:
+            out[i:j] = _span_sums(data, starts[i:j], lengths[i:j], 0)
+        i = j
+    return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _span_sums(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, skipped: int) -> np.ndarray:
+    """Sums of byte values times powers of the base, for spans of which `skipped` bytes lie before their starts."""
+    out = np.zeros(len(starts), np.uint64)
     full = np.flatnonzero(lengths)
     if len(full):
         n = lengths[full]
         first = np.cumsum(n) - n
         local = np.arange(int(n.sum())) - np.repeat(first, n)
-        values = _RANDOM[data[np.repeat(starts[full], n) + local]] * powers(int(n.max()))[local]
+        values = _RANDOM[data[np.repeat(starts[full], n) + local]] * powers(skipped + int(n.max()))[local + skipped]
         out[full] = np.add.reduceat(values, first)
-    return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
 
 
 _INVERSE = np.ones(1, np.uint64)

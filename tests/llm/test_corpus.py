@@ -6,13 +6,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_documents import ODD, PROSE, near_copy
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import imatch, maxent_lm, minhash_forest, mixing, suffix_dedup
+from lodestone.llm import imatch, maxent_lm, minhash_forest, mixing, spans, suffix_dedup
 from lodestone.llm.components import components
+from lodestone.llm.spans import as_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -193,23 +195,70 @@ def test_scores_by_brute_force(spark, odd, none):
 
 
 def test_scores_beat_the_base_on_held_out_texts(spark):
-    got = maxent_lm.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").toPandas()
-    assert got.score.sum() > got.base_score.sum() and (got.score > got.base_score).mean() > 0.6
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = maxent_lm.score_texts(docs.repartition(1)).toPandas().set_index("doc_id").sort_index()
+    held = got[got.held_out]
+    assert held.score.sum() > 0.95 * held.base_score.sum() and (held.score > held.base_score).mean() > 0.9
+    # However the rows are dealt, each has the same score, to the bit.
+    again = maxent_lm.score_texts(docs.repartition(16, "text"), chunk_bytes=300_000).toPandas().set_index("doc_id").sort_index()
+    assert (got.score == again.score).all() and (got.base_score == again.base_score).all()
 
 
-def test_model_is_a_distribution_over_classes():
-    model = maxent_lm.Model(np.array([5, 3], np.uint64), np.r_[[4.0, 2.0], np.zeros(30), np.arange(32.0)], np.r_[np.zeros(32), np.ones(32)])
+def test_context_tells_words_of_one_class_apart(spark):
+    texts = ["the big cat sat", "a small rat ran"] * 200 + ["the big rat sat"] * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.text: r.score for r in maxent_lm.score_texts(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2").union(spark.createDataFrame([(k, t) for k, t in ((2000, "the big cat sat"), (2001, "the big rat sat"))], docs.schema))).join(docs.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).collect()}
+    cat, rat = np.array([99, 97], np.int64), np.array([114, 97], np.int64)  # one class: it is that of the last two bytes
+    assert (cat[1:] == rat[1:]).all() and got["the big cat sat"] > got["the big rat sat"] + 1
+
+
+def _model(own=(3, 5)):
     draw = np.random.default_rng(0)
-    model.sets += draw.normal(size=model.sets.shape).astype(np.float32) * 0.1
-    model.members += draw.normal(size=model.members.shape).astype(np.float32) * 0.1
-    feats = np.array([[1, maxent_lm.BUCKETS + 2, 2 * maxent_lm.BUCKETS + 3]])
-    total = 0.0
-    for own in range(maxent_lm.SETS):
-        x, y = model.scores(feats, np.array([own]), model.sets, model.members)
-        total += (x[0, own] / x.sum() * y[0] / y.sum()).sum()
+    n, v = draw.integers(1, 90, (2, maxent_lm.CLASSES, maxent_lm.LEAVES))
+    model = maxent_lm.Model(np.array(own, np.uint64), np.array([0, 1]), n, v)
+    model.class_w += draw.normal(size=model.class_w.shape).astype(np.float32) * 0.3
+    model.leaf_w += draw.normal(size=model.leaf_w.shape).astype(np.float32) * 0.3
+    return model
+
+
+def test_model_is_a_distribution_over_leaves():
+    model = _model()
+    rows, total = [np.array([k + 1]) for k in range(maxent_lm.FAMILIES)], 0.0
+    for c in range(maxent_lm.CLASSES):
+        cls = np.array([c])
+        x, y = model.softmaxes(rows, [cls * maxent_lm.LEAF_ROWS + k for k in range(maxent_lm.FAMILIES)], cls, slice(0, 1))
+        total += float(x[0, c] * y[0].sum())
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_sums_by_brute_force_and_in_pieces(monkeypatch):
+    texts = ["the cat sat on the mat and the rat ran " * 30, "", "one", "a " * 300, "x" * 900 + " yy zz"]
+    data, offsets = as_bytes(pa.array(texts, pa.string()))
+    whole = [t for *_, t in maxent_lm.tokens_of(data, offsets)]
+    monkeypatch.setattr(maxent_lm, "pieces", lambda d, o: spans.pieces(d, o, 64))
+    parts = [t for *_, t in maxent_lm.tokens_of(data, offsets)]
+    assert len(whole) == 1 and len(parts) > 20
+    for name in ("hashes", "classes", "one", "two", "class_one", "class_two"):
+        assert (np.concatenate([getattr(t, name) for t in parts]) == getattr(whole[0], name)).all(), name
+    model = _model()
+    sums, seen = (np.zeros(maxent_lm.CELLS, np.int64) for _ in range(2))
+    in_parts = np.zeros(maxent_lm.CELLS, np.int64)
+    model.expected(whole[0], sums)
+    model.seen(whole[0], seen)
+    for t in parts:
+        model.expected(t, in_parts)
+    assert (sums == in_parts).all() and seen.sum() == 2 * maxent_lm.FAMILIES * len(whole[0].hashes)
+    t = whole[0]
+    rows, leaf_rows = maxent_lm.rows_of(t.features(), t.classes)
+    x, y = model.softmaxes(rows, leaf_rows, t.classes, slice(None))
+    want = np.zeros((maxent_lm.CLASS_ROWS, maxent_lm.CLASSES))
+    np.add.at(want, rows[1], x)
+    assert np.abs(maxent_lm.views(sums)[0][1] / 2**maxent_lm.FINE - want).max() < 0.05
+    want = np.zeros((maxent_lm.CLASSES * maxent_lm.LEAF_ROWS, maxent_lm.LEAVES))
+    np.add.at(want, leaf_rows[3], y)
+    assert np.abs(maxent_lm.views(sums)[1][3] / 2**maxent_lm.FINE - want).max() < 0.05
+
+
 # Fingerprints
 
 
