@@ -2,16 +2,21 @@
 
 The markup is cut into text blocks at block-level tags; scripts, styles and
 other raw elements, comments and the head hold no text.  A block has its number
-of words, its link density, the same of the blocks before and after it, and
-flags of where it stands (inside an element whose tag, role, class or id speaks
-of page furniture; inside one that speaks of content; a heading; a paragraph; a
-list item).  A CART tree, grown on the labelled blocks of `LABELLED` below,
-keeps or drops each block; kept blocks are joined in page order by a blank line.
+of words, its link density, the same of the blocks before and after it, flags of
+its own tag (a heading; a paragraph; a list item), and flags of where it stands:
+inside an element whose tag, role, class or id speaks of page furniture, or of
+content.  The innermost element that speaks decides; one that holds the page's
+main heading or its article, and half of its words, is a layout and speaks of
+nothing (a form with half of the words too).  A CART tree, grown on the labelled blocks of `labelled()` below, keeps
+or drops each block; in that table many pages have no names to go by, or
+misleading ones, so that sizes and links of neighbours decide there.  Kept blocks
+are joined in page order by a blank line.
 
 Defined results: null and empty html give the empty text; markup that is cut
 off ends at the end of the page (a tag without its `>` is no text); unclosed
-elements end with their parents; a page of any length is read whole; rows with
-null or repeated ids are pages like any other.
+elements end with their parents (a head, where something else begins; a link,
+with the block around it); a page of any length is read whole; rows with null or
+repeated ids are pages like any other; no other column is read.
 """
 
 from __future__ import annotations
@@ -26,10 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+#: A quote begins a value only after an equals sign.
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
 _WORDS = re.compile(r"[^\W_]+")
-_HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "head", "select"}
+_HINT = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none", re.I)
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select"}
+#: Raw elements that a slash may close.
+FOREIGN = {"svg", "math"}
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_TAGS = set("nav footer aside form menu dialog button fieldset".split())
@@ -39,31 +49,57 @@ FURNITURE = set(
     "discussion footer footnav gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications pager pagination popup privacy promo "
     "promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar widget widgets".split()
 )
+#: Words that say of a name that it tells of a page's make, not of an element's role.
+MAKE = set("closed count disabled enabled fixed free has hide is layout no not off on open page show with without wrapper".split())
 CONTENT_TAGS = {"article", "main"}
 CONTENT = set("article body content entry main post story text".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "content", "heading", "paragraph", "item")
 
 
+class Element:
+    """An open or closed element: what it speaks of (-1 furniture, 1 content, else 0), the words inside, and whether it holds a main heading or an article."""
+
+    __slots__ = ("tag", "parent", "speaks", "named", "words", "head", "label")
+
+    def __init__(self, tag: str, parent: Element | None, speaks: int = 0, named: bool = False, label: str = ""):
+        self.tag, self.parent, self.speaks, self.named, self.words, self.head, self.label = tag, parent, speaks, named, 0, False, label
+
+
 class Block:
-    __slots__ = ("text", "words", "linked", "furniture", "content", "tag", "label")
+    __slots__ = ("text", "words", "linked", "inside", "tag", "label")
 
-    def __init__(self, text: str, linked: int, furniture: bool, content: bool, tag: str, label: str):
-        self.text, self.words, self.linked, self.furniture, self.content, self.tag, self.label = text, len(_WORDS.findall(text)), linked, furniture, content, tag, label
+    def __init__(self, text: str, linked: int, inside: Element):
+        self.text, self.words, self.linked, self.inside, self.tag, self.label = text, len(_WORDS.findall(text)), linked, inside, inside.tag, inside.label
 
 
-def _hints(attributes: str) -> set[str]:
-    return {w for m in _HINT.finditer(attributes) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(x or "" for x in m.groups())).lower()) if w}
+def _speaks(name: str, attributes: str, content: bool) -> tuple[int, bool]:
+    """What an element speaks of, and whether by a name or form only, which may be a layout's; content: whether it stands in content."""
+    names = [m for x in _HINT.finditer(attributes) for m in "".join(y or "" for y in x.groups()).split()] if "=" in attributes else []
+    words = [[w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()) if w] for x in names]
+    words = [w for w in words if w and not MAKE.intersection(w)]
+    speaks_content = name in CONTENT_TAGS or any(CONTENT.intersection(w) for w in words)
+    ends = {w for x in words for w in (x[0], x[-1])} & FURNITURE
+    if "header" in ends and (content or speaks_content):
+        ends.discard("header")
+    if name in CONTENT_TAGS:
+        return (-1, True) if any(x == ["comment"] for x in words) else (1, False)
+    if name in FURNITURE_TAGS or (name == "header" and not content) or _HIDDEN.search(attributes):
+        return -1, name == "form"
+    return (-1, True) if ends else (1, True) if speaks_content else (0, False)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
     parts: list[str] = []
-    linked = in_link = 0
-    tag, label = "", ""
-    # Open elements: tag, and whether furniture and content hold inside.
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]
+    linked = 0
+    top = Element("", None)
+    stack = [top]
+    every = [top]
+    own = top
+    # The number of open elements where a link began, if inside one.
+    link_at = 0
     skip_to: str | None = None
     at = 0
 
@@ -73,13 +109,15 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, linked, stack[-1][1], stack[-1][2], tag, label))
+                b = Block(text, linked, own)
+                own.words += b.words
+                out.append(b)
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         parts.append(text)
-        if in_link:
+        if link_at:
             linked += len(_WORDS.findall(text))
 
     for m in _TOKEN.finditer(page):
@@ -92,20 +130,27 @@ def blocks(page: str) -> list[Block]:
             continue
         name, closing = m[2].lower(), m[1] == "/"
         if skip_to is not None:
-            if name == skip_to and closing:
+            if name == "head" and closing:
                 skip_to = None
-            continue
-        if name in RAW:
-            if not closing and not m[3].endswith("/"):
-                close_block() if name not in INLINE else None
-                if name == "head":
-                    skip_to = "head"
-                else:
+                continue
+            if closing or name in IN_HEAD:
+                if name in RAW and not closing:
                     end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                     at = end.end() if end else len(page)
+                continue
+            skip_to = None
+        if name == "head":
+            close_block()
+            if not closing:
+                skip_to = "head"
+            continue
+        if name in RAW:
+            if not closing and not (name in FOREIGN and m[3].endswith("/")):
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else len(page)
             continue
         if name == "a":
-            in_link = 0 if closing else 1
+            link_at = 0 if closing else len(stack)
             continue
         if name == "br":
             parts.append(" ")
@@ -117,35 +162,63 @@ def blocks(page: str) -> list[Block]:
             continue
         if closing:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
+                if stack[k].tag == name:
                     del stack[k:]
                     break
+            if link_at > len(stack):
+                link_at = 0
         else:
-            if name == "p" and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
+            if name == "p" and stack[-1].tag == "p" or name == "li" and stack[-1].tag == "li":
                 stack.pop()
-            _, furniture, content, _ = stack[-1]
-            hints = _hints(m[3]) if "=" in m[3] else set()
-            if name in CONTENT_TAGS or (hints & CONTENT and not hints & FURNITURE):
-                content = True
-            if name not in ("body", "html") and (name in FURNITURE_TAGS or hints & FURNITURE or (name == "header" and not content)):
-                furniture = True
+            content = any(e.speaks > 0 for e in stack)
             mark = re.search(r"data-keep=(\d)", m[3]) if "data-keep" in m[3] else None
-            stack.append((name, furniture, content, mark[1] if mark else stack[-1][3]))
-        tag, label = stack[-1][0], stack[-1][3]
+            e = Element(name, stack[-1], *(_speaks(name, m[3], content) if name not in ("body", "html", "p") or m[3] and name == "p" else (0, False)), mark[1] if mark else stack[-1].label)
+            if name == "h1" or name in CONTENT_TAGS and e.speaks > 0:
+                for x in stack:
+                    x.head = True
+            stack.append(e)
+            every.append(e)
+        own = stack[-1]
     if at < len(page) and skip_to is None:
         add(page[at:])
     close_block()
+    # Elements come after their parents, so that backwards each gives its words to its parent.
+    for e in reversed(every[1:]):
+        e.parent.words += e.words
+    for e in every:
+        if e.speaks < 0 and e.named and (e.head or e.tag == "form") and 2 * e.words >= top.words:
+            e.speaks = 0
     return out
 
 
+def _told(e: Element | None) -> int:
+    """What the innermost element around that speaks of anything speaks of; furniture holds for what is unnamed inside it."""
+    while e is not None:
+        if e.speaks:
+            return e.speaks
+        e = e.parent
+    return 0
+
+
+def _in_furniture(e: Element | None) -> bool:
+    """Furniture inside, and no article or main element within it."""
+    while e is not None:
+        if e.speaks < 0:
+            return True
+        if e.speaks > 0 and not e.named:
+            return False
+        e = e.parent
+    return False
+
+
 def features(found: list[Block]) -> np.ndarray:
     """One row a block, columns as in FEATURES."""
-    own = [(min(b.words, 1000), b.linked / b.words if b.words else 0.0) for b in found]
+    own = [(min(b.words, 1000), min(1.0, b.linked / b.words) if b.words else 0.0) for b in found]
     edge = (0, 0.0)
     rows = []
     for i, b in enumerate(found):
         before, after = own[i - 1] if i else edge, own[i + 1] if i + 1 < len(own) else edge
-        rows.append((*own[i], *before, *after, b.furniture, b.content, b.tag in HEADINGS, b.tag in ("p", "blockquote", "pre"), b.tag in ("li", "dt", "dd")))
+        rows.append((*own[i], *before, *after, _in_furniture(b.inside), _told(b.inside) > 0, b.tag in HEADINGS, b.tag in ("p", "blockquote", "pre"), b.tag in ("li", "dt", "dd")))
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
 
@@ -154,25 +227,64 @@ _MID = "Nobody expected the answer that came back from the laboratory."
 _LINK = '<a href="/x">{}</a>'
 
 
-def _menu(*names: str) -> str:
-    return "<ul>" + "".join(f"<li>{_LINK.format(n)}</li>" for n in names) + "</ul>"
+def _links(*names: str, tag: str = "li") -> str:
+    return "".join(f"<{tag}>{_LINK.format(n)}</{tag}>" for n in names)
 
 
-#: The labelled table: small pages whose elements say whether their blocks are main text.
-LABELLED = [
-    f"<body><nav data-keep=0>{_menu('Home', 'News', 'Sport')}</nav><div class=ad data-keep=0>Buy two, get one free today only in every shop of the town.</div>"
-    f"<article data-keep=1><h1>Bridge to be rebuilt</h1><p>{_LONG}</p><p>Yes.</p><p>{_MID}</p></article><footer data-keep=0>&copy; 2020 The Town Paper, all rights reserved. {_LONG}</footer></body>",
-    f"<body><header data-keep=0><p>The Town Paper</p>{_menu('World', 'Local')}</header><main data-keep=1><h2>A short one</h2><p>It is.</p><ul><li>First point made here</li><li>Second</li></ul><p>{_LONG} {_LINK.format('Read the report')}</p></main>"
-    f"<aside data-keep=0><h3>Most read</h3>{_menu('Ten tips for a garden', 'Why cats sleep')}<p>{_LONG}</p></aside></body>",
-    f"<body><div data-keep=0>{_LINK.format('Home')} | {_LINK.format('About us')} | {_LINK.format('Contact')}</div><div data-keep=1><p>{_LONG}</p><p>{_LONG}</p><p>{_MID}</p></div><div data-keep=0>{_LINK.format('Terms')} {_LINK.format('Privacy')}</div></body>",
-    f"<body><div class=cookie-notice data-keep=0>We use cookies to make this site better for you. {_LONG} <button>Accept</button></div><div class=post-content data-keep=1><p>{_MID}</p><blockquote>{_LONG}</blockquote><p>So.</p></div>"
-    f"<section class=comments data-keep=0><p>{_LONG}</p><p>Great read, thanks!</p></section></body>",
-    f"<body><article data-keep=1><header><h1>Inside</h1></header><p>{_LONG}</p><section class=comments data-keep=0><h3>Comments</h3><p>{_MID}</p><p>{_LONG}</p></section></article><form data-keep=0><p>Your e-mail</p><p>{_MID}</p></form></body>",
-    f"<body><h1 data-keep=1>Plain page</h1><p data-keep=1>{_LONG}</p><p data-keep=1>{_MID}</p><p data-keep=1>{_LONG} {_MID}</p><p data-keep=0>{_LINK.format('Back to the top')}</p></body>",
-    f"<body><table data-keep=0><tr><td>{_LINK.format('One')}</td><td>{_LINK.format('Two')}</td></tr></table><article data-keep=1><p>{_LINK.format('The whole paragraph is a link to a source')}</p><h3>Part two</h3><pre>x = 1</pre><p>{_LONG}</p></article></body>",
-    f"<body><div class=sidebar data-keep=0><p>{_LONG}</p><p>{_MID}</p></div><div id=main data-keep=1><h1>Title</h1><p>{_MID}</p><p>{_MID}</p></div><div class=related data-keep=0><h3>More</h3>{_menu('A story about bread', 'Another about salt')}</div></body>",
-    f"<body><p data-keep=0>{_LINK.format('Skip to the text')}</p><div data-keep=1><p>{_LONG} {_LONG}</p><p>{_LONG}</p></div><ul data-keep=0><li>{_LINK.format('Next')}</li><li>{_LINK.format('Previous')}</li></ul></body>",
-]
+#: What is main text: headings, paragraphs of any length, lists, quotations, plain blocks.
+_BODIES = (
+    f"<h1>Bridge to be rebuilt</h1><p>{_LONG}</p><p>Yes.</p><p>{_MID}</p><p>{_LONG} {_LONG}</p>",
+    f"<h2>A short one</h2><p>It is.</p><ul><li>First point made here</li><li>Second</li></ul><p>{_LONG} {_LINK.format('Read the report')}</p><p>{_MID}</p>",
+    f"<h1>Inside</h1><div>{_LONG}</div><div>{_MID}</div><div>{_LONG} {_MID}</div>",
+    f"<p>{_LONG}</p><h3>Part two</h3><pre>x = 1</pre><blockquote>{_MID}</blockquote><p>{_LONG}</p><p>So.</p>",
+    f"<h1>Plain page</h1><p>{_MID}</p><p>{_MID}</p><p>{_LONG}</p><ol><li>{_MID}</li><li>{_LONG}</li></ol>",
+    f"<h2>Sources</h2><p>{_LONG}</p><p>See {_LINK.format('the first report')} and {_LINK.format('the second')} of that year.</p><p>{_MID}</p>",
+    f"<p>It was so.</p><p>{_LONG}</p><p>{_MID}</p><p>A last word.</p>",
+)
+#: Furniture that can be told by its links and sizes, or by those of its neighbours.
+_BEFORE = (
+    f"<ul>{_links('Home', 'News', 'Sport')}</ul>",
+    f"<div>{_LINK.format('Home')} | {_LINK.format('About us')} | {_LINK.format('Contact')}</div>",
+    f"<ul>{_links('World', 'Local', 'Letters')}</ul><div>Buy two, get one free today only.</div>",
+    f"<p>{_LINK.format('Skip to the text')}</p><table><tr>{_links('One', 'Two', tag='td')}</tr></table>",
+)
+_AFTER = (
+    f"<div>{_LINK.format('Terms')} {_LINK.format('Privacy')} {_LINK.format('Imprint')}</div>",
+    f"<div>Share</div><ul>{_links('Next', 'Previous')}</ul>",
+    f"<h3>More</h3><ul>{_links('A story about bread', 'Another one about salt', 'Ten tips for a garden')}</ul>",
+    f"<p>{_LINK.format('Back to the top')}</p><div>&copy; 2020 The Town Paper</div>",
+)
+#: Furniture that only a name can tell from main text.
+_NAMED = (
+    ("div class=cookie-notice", f"We use cookies to make this site better for you. {_LONG} <button>Accept</button>"), ("section id=comments", f"<h3>Two comments</h3><p>{_LONG}</p><p>Great read, thanks!</p>"), ("div class='ad'", _MID),
+    ("aside", f"<h3>Most read</h3><p>{_LONG}</p><p>{_MID}</p>"), ("footer", f"&copy; 2020 The Town Paper, all rights reserved. {_LONG}"), ("form", f"<p>Your e-mail</p><p>{_MID}</p>"), ("div class='widget sidebar'", f"<p>{_LONG}</p><p>{_MID}</p>"),
+)
+#: Around main text: articles, plain blocks, and names that mislead.
+_AROUND = ("article", "div", "main", "div class=post-content", "div class='layout has-sidebar'", "div class='inhalt'", "form id=aspnet", "article class='post comments-open'")
+
+
+@functools.cache
+def labelled() -> tuple[str, ...]:
+    """The labelled table: small pages whose elements say whether their blocks are main text; every piece above stands in several of them."""
+
+    def within(around: str, body: str, keep: int) -> str:
+        return f"<{around} data-keep={keep}>{body}</{around.split()[0]}>"
+
+    pages = []
+    for i, around in enumerate(_AROUND):
+        for j, body in enumerate(_BODIES):
+            k = i + j
+            tag, text = _NAMED[k % len(_NAMED)]
+            before, after = within("div", _BEFORE[k % len(_BEFORE)], 0), within("div", _AFTER[j % len(_AFTER)], 0)
+            named = within(tag, text, 0)
+            pages.append("<body>" + before + (named if k % 2 else "") + within(around, body, 1) + ("" if k % 2 else named) + after + "</body>")
+            if i < 3:
+                pages.append("<body>" + before + within(around, body, 1) + after + "</body>")
+    return tuple(pages)
+
+
+#: Blocks of the labelled table in a leaf, at least.
+LEAST = 3
 
 
 class Tree:
@@ -188,6 +300,8 @@ class Tree:
             levels = np.unique(x[:, k])
             for cut in (levels[1:] + levels[:-1]) / 2:
                 left = x[:, k] < cut
+                if min(left.sum(), (~left).sum()) < LEAST:
+                    continue
                 cost = sum(2 * part.mean() * (1 - part.mean()) * len(part) for part in (y[left], y[~left]))
                 if cost < best[0]:
                     best = (cost, (k, float(cut)))
@@ -213,9 +327,14 @@ class Tree:
 
 @functools.cache
 def trained() -> Tree:
-    """The tree of the labelled table; every block in it that carries a label counts."""
+    """The tree of the labelled table."""
+    return grown(labelled())
+
+
+def grown(pages: tuple[str, ...]) -> Tree:
+    """A tree from labelled pages; every block that carries a label counts."""
     x, y = [], []
-    for page in LABELLED:
+    for page in pages:
         found = blocks(page)
         x.append(features(found)[[i for i, b in enumerate(found) if b.label]])
         y += [b.label == "1" for b in found if b.label]
