@@ -6,18 +6,19 @@ common terms say little, very rare ones change with every edit.  A document
 keeps its distinct lexicon terms, sorted.  Each of several randomised subsets of
 the lexicon (a term belongs to it by a seeded hash, at one of several rates)
 hashes the kept terms that it holds; the hashes in order are the fingerprint.
-Two fingerprints are alike by the share of equal subset hashes among subsets
+A document without lexicon terms has, in place of each subset's hash, the least
+of its terms' hashes under that subset's seed.  Two fingerprints are alike by the share of equal subset hashes among subsets
 that hold a term of either document.
 
 Size of the lexicon: a document holds d distinct terms on average and a lexicon
 term is in a share of at least `low` of them, so there are d / low lexicon terms
 at most, whatever the size of the corpus.  It is counted and is broadcast only
-up to `broadcast_terms`; beyond, it is joined by a shuffle.
+up to `broadcast_terms`; beyond, it is joined by a shuffle.  Of a document's
+terms, only those of the lexicon are gathered again, and one row that carries
+what it needs without them.
 
-Defined results: a null text is the empty text.  A document of at most
-`short_terms` distinct terms, none of them in the lexicon, keeps all its terms;
-one with no kept term at all has a fingerprint made from its whole text.  Equal
-texts have equal fingerprints and likeness 1.  Documents come in ascending id,
+Defined results: a null text is the empty text.  A document without a term has a
+fingerprint made from its whole text.  Equal texts have equal fingerprints and likeness 1.  Documents come in ascending id,
 null ids first, equal ids by the hash of their texts; a repeated row (same id
 and text) is one document in that order and is returned as often as it came.
 An empty table gives an empty result; other columns are not read.
@@ -34,10 +35,11 @@ from lodestone.llm.shared import table
 #: Shares of all documents that hold a lexicon term.
 LOW, HIGH = 1 / 2000, 1 / 10
 #: One subset of the lexicon for each rate and seed: a term is in it with chance 1 / rate.
-RATES, SEEDS = (4, 32, 128, 512), (1, 2, 3, 4)
-SHORT_TERMS = 64
+RATES, SEEDS = (8, 32, 128, 512), tuple(range(1, 9))
 BROADCAST_TERMS = 2_000_000
 KEY = ["nf", "ik", "h"]
+#: Stands for no term: every text has it, and the lexicon too.
+NO_TERM = 0
 
 
 def terms(text: Column) -> Column:
@@ -90,6 +92,15 @@ def subset_hashes(kept: Column) -> Column:
     return F.array(*[one(r, s) for r in RATES for s in SEEDS])
 
 
+def least_hashes(found: Column) -> Column:
+    """The least hash of the terms under the seed of each subset, null where there are none."""
+
+    def one(rate: int, seed: int) -> Column:
+        return F.array_min(F.transform(found, lambda t: F.xxhash64(t, F.lit(seed), F.lit(rate)))).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    return F.array(*[one(r, s) for r in RATES for s in SEEDS])
+
+
 def as_text(hashes: Column) -> Column:
     return F.concat_ws("", F.transform(hashes, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 8, "0"), F.lit("--------"))))
 
@@ -106,28 +117,34 @@ def _bare(whole: Column) -> Column:
     return F.array(*[F.xxhash64(whole, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(len(RATES) * len(SEEDS))])
 
 
-def fingerprints(texts: DataFrame, names: list[str], band: DataFrame, digest: str | None = None, broadcast_terms: int = BROADCAST_TERMS, short_terms: int = SHORT_TERMS) -> DataFrame:
+def fingerprints(texts: DataFrame, names: list[str], band: DataFrame, digest: str | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """KEY, for each text column of `names` the subset hashes <name>_sig, and the sha256 of column `digest` as <digest>_sha256.
 
     Terms of a document stay in its task: if texts is dealt by KEY, nothing is shuffled.
     """
-    band = table(band, "imatch-lexicon").withColumn("inside", F.lit(True))
+    band = table(band.union(band.sparkSession.range(1).select(F.lit(NO_TERM).cast("long"))), "imatch-lexicon")
     if band.count() <= broadcast_terms:
         band = F.broadcast(band)
     wanted = [*names, *([digest] if digest else [])]
     rows = texts.select(*KEY, F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("t")) for i, c in enumerate(wanted)])).alias("w"))
     listed = F.col("w.which") < len(names)
-    rows = rows.select(*KEY, "w.which", F.xxhash64("w.t").alias("whole"), F.when(~listed, F.sha2(F.col("w.t").cast("binary"), 256)).alias("sha"), F.when(listed, terms(F.col("w.t"))).alias("terms"))
-    rows = rows.select(*KEY, "which", "whole", "sha", (F.size("terms") <= short_terms).alias("short"), F.explode_outer("terms").alias("term")).join(band, "term", "left")
+    rows = rows.select(*KEY, "w.which", F.col("w.t").alias("t"), F.when(listed, terms(F.col("w.t"))).alias("terms"), listed.alias("listed"))
+    # What a text has without the lexicon: hashes of all its terms, or of itself; of the digest's column, that digest.
+    alone = F.when(F.col("listed"), F.when(F.size("terms") > 0, least_hashes(F.col("terms"))).otherwise(_bare(F.xxhash64("t"))))
+    rows = rows.select(*KEY, "which", "terms", alone.alias("alone"), F.when(~F.col("listed"), F.sha2(F.col("t").cast("binary"), 256)).alias("sha"))
+    none = F.array(F.lit(NO_TERM).cast("long"))
+    rows = rows.select(*KEY, "which", "alone", "sha", F.explode(F.concat(none, F.coalesce("terms", F.array().cast("array<bigint>")))).alias("term"))
+    lone = F.col("term") == NO_TERM
+    rows = rows.select(*KEY, "which", "term", F.when(lone, F.col("alone")).alias("alone"), F.when(lone, F.col("sha")).alias("sha")).join(band, "term")
     aggs = [F.max("sha").alias(f"{digest}_sha256")] if digest else []
     for i in range(len(names)):
         own = F.col("which") == i
-        aggs += [F.collect_set(F.when(own & F.col("inside"), F.col("term"))).alias(f"in{i}"), F.collect_set(F.when(own & F.col("short") & F.col("inside").isNull(), F.col("term"))).alias(f"out{i}"), F.max(F.when(own, F.col("whole"))).alias(f"whole{i}")]
+        aggs += [F.collect_set(F.when(own & (F.col("term") != NO_TERM), F.col("term"))).alias(f"in{i}"), F.max(F.when(own, F.col("alone"))).alias(f"alone{i}")]
     out = rows.groupBy(*KEY).agg(*aggs)
     for i, c in enumerate(names):
-        out = out.withColumn(f"kept{i}", F.sort_array(F.when(F.size(f"in{i}") > 0, F.col(f"in{i}")).otherwise(F.col(f"out{i}"))))
-        out = out.withColumn(f"{c}_sig", subset_hashes(F.col(f"kept{i}")))
-        out = out.withColumn(f"{c}_sig", F.when(F.exists(f"{c}_sig", lambda x: x.isNotNull()), F.col(f"{c}_sig")).otherwise(_bare(F.col(f"whole{i}"))))
+        out = out.withColumn(f"{c}_sig", subset_hashes(F.sort_array(f"in{i}")))
+        # Where the subsets hold none of a text's terms, they say nothing of it either.
+        out = out.withColumn(f"{c}_sig", F.when(F.exists(f"{c}_sig", lambda x: x.isNotNull()), F.col(f"{c}_sig")).otherwise(F.col(f"alone{i}")))
     return out.select(*KEY, *[f"{c}_sig" for c in names], *([f"{digest}_sha256"] if digest else []))
 
 

@@ -1,13 +1,16 @@
 """Operators over whole tables, against brute force: near copies, repeats, mixing, scores, fingerprints, the pipeline."""
 
+import functools
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from odd_documents import ODD, PROSE, near_copy
 from pyspark.sql import functions as F
 
@@ -293,6 +296,44 @@ def test_edits_stay_nearer_than_neighbours(spark):
     assert got.near_edited.mean() > 0.15 > 0.02 > got.near_next.mean()
 
 
+def test_edits_rarely_leave_nothing_alike(spark):
+    got = imatch.fingerprint_with_edits(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    assert (got.near_edited == 0).mean() < 0.05 and got.near_next.mean() < 0.02
+
+
+def brute_fingerprints(rows, low=imatch.LOW, high=imatch.HIGH):
+    """The fingerprint of each text, from the document frequencies of all rows."""
+    h = lambda data, seed=42: xxhash.xxh64(data, seed=seed).intdigest()
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    long = lambda x, seed=42: h(struct.pack("<q", signed(x)), seed)
+    chain = lambda seed, *xs: functools.reduce(lambda s, x: h(struct.pack("<i", x), s), xs, seed)
+    terms = {t: {signed(h(w.encode())) for w in re.split(r"[^\w]|_", t.lower()) if w} for _, t in rows}
+    df = Counter(w for _, t in rows for w in terms[t])
+    band = {w for w, c in df.items() if max(2, low * len(rows)) <= c <= max(2, high * len(rows))}
+    out = {}
+    for t, own in terms.items():
+        parts = []
+        for rate in imatch.RATES:
+            for seed in imatch.SEEDS:
+                kept = sorted(w for w in own & band if (signed(chain(long(w), seed)) >> 40) & (rate - 1) == 0)
+                parts.append(chain(functools.reduce(lambda s, w: long(w, s), kept, 42), rate) & 0xFFFFFFFF if kept else None)
+        if not any(p is not None for p in parts):
+            subsets = [(r, s) for r in imatch.RATES for s in imatch.SEEDS]
+            whole = h(t.encode())
+            parts = [min(signed(chain(long(w), s, r)) for w in own) & 0xFFFFFFFF for r, s in subsets] if own else [chain(long(whole), k) & 0xFFFFFFFF for k in range(len(subsets))]
+        out[t] = "".join("--------" if p is None else f"{p:08x}" for p in parts)
+    return out
+
+
+def test_fingerprints_by_brute_force(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.filter("doc_id <> 9").select(F.col("doc_id") + 10_000, "text"))
+    rows = [(r.doc_id, r.text or "") for r in docs.distinct().collect()]
+    want = brute_fingerprints([(r.doc_id, r.text or "") for r in docs.collect()])
+    texts = dict(rows)
+    got = imatch.fingerprint_with_edits(docs).collect()
+    assert len(got) == docs.count() and all(r.fingerprint == want[texts[r.doc_id]] for r in got)
+
+
 def test_lexicon_is_the_band(spark):
     df = spark.createDataFrame([(f"all w{i} " + ("half " if i % 2 else ""),) for i in range(40)], "text string")
     got = {r.term for r in imatch.lexicon(df, 0.1, 0.6).collect()}
