@@ -64,7 +64,7 @@ BUCKET_NAMES = 2 << 20
 PART_BYTES = 1 << 18
 BITMAP_BITS = 24
 #: Bits of a string's name and second hash beyond twice those of the corpus's size.
-SPARE = 24
+SPARE = 16
 #: Ids that bound the groups are quantiles of so many ids a group, and of so many in all.
 IDS_A_GROUP, IDS_AT_MOST = 200, 16_000_000
 LAST = (1 << 63) - 1
@@ -109,6 +109,21 @@ def unpack_places(data: bytes) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def by_name(names: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """The order by names, and among equal names by tails; ties come in any order."""
+    order = np.argsort(names)
+    s, t = names[order], tails[order]
+    if ((s[1:] == s[:-1]) & (t[1:] != t[:-1])).any():
+        order = np.lexsort((tails, names))
+    return order
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a sort is faster here than the hash table of np.unique."""
+    s = np.sort(x)
+    return s[np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))] if len(s) else s
+
+
 class Group:
     """Texts of one group, end to end."""
 
@@ -166,7 +181,7 @@ class Group:
         name, tail = self.hashed(places, LENGTH, FIRST, SECOND)
         name >>= np.uint64(64 - self.string_bits)
         tail &= np.uint64((1 << 8 * self.tail_bytes) - 1)
-        order = np.lexsort((tail, name))
+        order = by_name(name, tail)
         n, t = name[order], tail[order]
         new = np.ones(len(n), bool)
         new[1:] = (n[1:] != n[:-1]) | (t[1:] != t[:-1])
@@ -248,14 +263,15 @@ def _compare(blobs: DataFrame, earlier: bool, bucket_bits: int, tail_bytes: int
         names, tails = zip(*[unpack(x.as_py(), tail_bytes) for x in t["blob"]], strict=True)
         n = np.array([len(p) for p in names])
         names, tails = np.concatenate(names), np.concatenate(tails)
-        # The blobs come in the order of their groups, so a stable sort leaves equal names in that order.
-        order = np.lexsort((tails, names)) if tail_bytes else np.argsort(names, kind="stable")
-        same = names[order[1:]] == names[order[:-1]]
-        if tail_bytes:
-            same &= tails[order[1:]] == tails[order[:-1]]
+        order = by_name(names, tails)
+        same = (names[order[1:]] == names[order[:-1]]) & (tails[order[1:]] == tails[order[:-1]])
         hit = np.zeros(len(order), bool)
-        hit[1:] = same
-        if not earlier:
+        if earlier:
+            # The blobs come in the order of their groups: the least place of equal names is the first group's.
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            hit = order != np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(order))))
+        else:
+            hit[1:] = same
             hit[:-1] |= same
         told = np.empty(len(order), bool)
         told[order] = hit
@@ -323,19 +339,21 @@ def distinct_texts(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, DataFr
     return texts.repartition(n_groups, "grp"), placed, n_groups, total
 
 
-def judged_texts(rows: DataFrame, group_bytes: int = GROUP_BYTES, bucket_names: int = BUCKET_NAMES, string_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def judged_texts(rows: DataFrame, group_bytes: int = GROUP_BYTES, bucket_names: int = BUCKET_NAMES, string_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """h1, h2, least, n_bytes, n_removed, n_spans, kept_sha256 of each distinct text; if rows have a column rest, also that and what is kept of the text.
 
     The second result is the rows with their groups, as distinct_texts() has
-    them.  The fewer string_bits names have, the longer are the second hashes.
+    them.  The fewer string_bits names have (by default as many as fit beside whole
+    bytes of second hashes), the longer are the second hashes.
     """
     texts, placed, _, total = distinct_texts(rows, group_bytes)
     with_text = "rest" in rows.columns
     n_names = max(1, total * len(COVER) // CYCLE)
     bucket_bits = max(0, math.ceil(math.log2(max(1, n_names / bucket_names))))
     name_bits = min(64, max(bucket_bits, math.ceil(math.log2(n_names + 1)) + 10))
-    string_bits = max(bucket_bits, string_bits)
-    tail_bytes = min(8, max(0, math.ceil((2 * math.log2(total + 2) + SPARE - string_bits) / 8)))
+    wanted = math.ceil(2 * math.log2(total + 2)) + SPARE
+    string_bits = max(bucket_bits, string_bits or min(wanted, 64 - -wanted % 8))
+    tail_bytes = min(8, max(0, -(-(wanted - string_bits) // 8)))
 
     def load(t: pa.Table) -> Group:
         worker_cache("suffix_dedup")
@@ -343,7 +361,7 @@ def judged_texts(rows: DataFrame, group_bytes: int = GROUP_BYTES, bucket_names:
         return Group(t, string_bits, tail_bytes)
 
     def sample(t: pa.Table) -> pa.Table:
-        return _blobs(t["grp"][0].as_py(), np.unique(load(t).sampled(name_bits)[1]), name_bits, bucket_bits)
+        return _blobs(t["grp"][0].as_py(), distinct(load(t).sampled(name_bits)[1]), name_bits, bucket_bits)
 
     def strings(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
