@@ -1,8 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built over a bounded sample of its
-labelled texts (`max_bytes` bytes of up to `max_docs` texts, by a hash of the
-id).  A text is parsed into the longest pieces that occur in a language's
+labelled rows: at most `max_docs`, by a hash of the id, each with at most
+`WINDOWS` windows of `WINDOW` characters, spread evenly over its whole text.  A text is parsed into the longest pieces that occur in a language's
 sample (Ziv and Merhav's cross parsing); phrases times log2 of the sample's
 length, by the text's length, estimate the bits a byte needs under that
 language.  The language that needs fewest wins; the score is the softmax of
@@ -11,7 +11,9 @@ those estimates over `evidence` bytes of text.
 Texts are lower-cased (ASCII and Latin-1 letters) and runs of other ASCII
 characters become one space.  A whole text is parsed in lanes of `LANE` bytes,
 side by side in numpy; a phrase ends with its lane, alike for every language.
-Workers build the automata themselves from the samples, which are bounded.
+Workers build the automata themselves from the samples, which are bounded; their
+moves are rows laid over each other in one array, so that a language takes some
+16 bytes for each of its sample's moves, whatever its script.
 
 Defined results: `und` with score 0 for a null text, a text without a letter,
 or when nothing could be learned; ties go to the language that sorts first;
@@ -31,10 +33,9 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.spans import as_bytes, batches, groups, trim, worker_cache
 
-MAX_BYTES, MAX_DOCS = 32_000, 64
+MAX_DOCS, WINDOWS, WINDOW = 40, 8, 100
 LANE = 512
 EVIDENCE = 24
-PIECES = 40
 UNKNOWN = "und"
 
 
@@ -86,25 +87,61 @@ def automaton(sample: bytes) -> list[dict[int, int]]:
     return move
 
 
+class Moves:
+    """Moves of automata in shared arrays: that of a state by a byte is at base[state] + byte, where owner says that it is the state's."""
+
+    def __init__(self, moves: list[dict[int, int]]):
+        n, sizes = len(moves), np.array([len(m) for m in moves], np.int64)
+        state = np.repeat(np.arange(n), sizes)
+        byte = np.array([c for m in moves for c in m], np.int64)
+        bases = np.zeros(n, np.int64)
+        # States of many moves try places at random, side by side, until all bytes of each fall on free ones; those of one move fill up the rest.
+        draw, many = np.random.default_rng(5), sizes[state] > 1
+        left, key, room = state[many], byte[many], 3 * int(many.sum()) + 512
+        taken = np.zeros(room, bool)
+        tries = 0
+        while len(left):
+            tries += 1
+            if tries % 40 == 0:
+                taken, room = np.append(taken, np.zeros(room // 2, bool)), room + room // 2
+            own = np.flatnonzero(np.diff(left, prepend=-1))
+            bases[left[own]] = draw.integers(0, room - 256, len(own))
+            at = bases[left] + key
+            claim = np.full(room, n, np.int64)
+            np.minimum.at(claim, at, left)
+            good = np.logical_and.reduceat((claim[at] == left) & ~taken[at], own)
+            placed = np.repeat(good, np.diff(np.append(own, len(left))))
+            taken[at[placed]] = True
+            left, key = left[~placed], key[~placed]
+        one = np.flatnonzero(~many)
+        free = np.flatnonzero(~taken)
+        free = np.append(free, np.arange(len(taken), len(taken) + max(0, len(one) - len(free))))[: len(one)]
+        bases[state[one]] = free - byte[one]
+        at = bases[state] + byte
+        bases += 256
+        end = int(max(at.max(initial=0), bases.max(initial=0))) + 513
+        self.base = bases.astype(np.int32)
+        self.owner, self.to = np.full(end, -1, np.int32), np.zeros(end, np.int32)
+        self.owner[at + 256], self.to[at + 256] = state, [x for m in moves for x in m.values()]
+
+    def next(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after these by these bytes, -1 where there is no such move."""
+        at = self.base[state] + byte
+        return np.where(self.owner[at] == state, self.to[at], np.int32(-1))
+
+
 class Parser:
-    """Automata of all languages in one table: states by byte class."""
+    """Automata of all languages, their states numbered through."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
-        used = sorted({b for s in samples.values() for b in s})
-        self.classes = np.zeros(256, np.int32)
-        self.classes[used] = np.arange(1, len(used) + 1)
-        self.width = len(used) + 1
-        tables, self.roots, at = [], [], 0
+        every: list[dict[int, int]] = []
+        self.roots = []
         for lang in self.langs:
-            moves = automaton(samples[lang])
-            t = np.full((len(moves), self.width), -1, np.int32)
-            rows = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-            t[rows, self.classes[[c for m in moves for c in m]]] = [x + at for m in moves for x in m.values()]
-            tables.append(t)
+            at = len(every)
             self.roots.append(at)
-            at += len(moves)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            every += [{c: x + at for c, x in m.items()} for m in automaton(samples[lang])]
+        self.moves = Moves(every)
         self.bits = np.log2([max(2, len(samples[x])) for x in self.langs])
 
     def rates(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -118,21 +155,20 @@ class Parser:
         length = np.minimum(sizes[owner] - local * LANE, LANE)
         order = np.argsort(-length, kind="stable")
         begin, length, owner = begin[order], length[order], owner[order]
-        codes = self.classes[data]
+        codes = data.astype(np.int32)
         roots = np.array(self.roots, np.int32)[:, None]
         state = np.repeat(roots, len(begin), axis=1)
         phrases = np.zeros((k, len(begin)), np.int32)
-        width = np.int32(self.width)
         active = np.searchsorted(-length, -np.arange(LANE), "left")  # lanes longer than t
         for t in range(int(length[0]) if len(length) else 0):
             m = active[t]
             c = codes[begin[:m] + t][None, :]
-            nxt = self.table[state[:, :m] * width + c]
+            nxt = self.moves.next(state[:, :m], c)
             # A phrase starts at the root, and where the one before can't go on; a byte unknown to the sample is one.
             fail = nxt < 0
             phrases[:, :m] += fail | (state[:, :m] == roots)
             if fail.any():
-                fresh = self.table[roots * width + c]
+                fresh = self.moves.next(np.broadcast_to(roots, nxt.shape), c)
                 nxt = np.where(fail, np.where(fresh < 0, roots, fresh), nxt)
             state[:, :m] = nxt
         total = np.stack([np.bincount(owner, phrases[i], minlength=n) for i in range(k)], 1)
@@ -161,18 +197,23 @@ def fold(ident: Column, folds: int) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % folds
 
 
-def learn_samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, max_bytes: int = MAX_BYTES, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
-    """For each language at most max_bytes of normalised text; no text gives more than 1 / PIECES of that."""
-    piece = max_bytes // PIECES
+def spread(text: Column) -> Column:
+    """WINDOWS windows of WINDOW characters at even distances, the first at the beginning and the last at the end; a shorter text whole."""
+    n = F.length(text)
+    start = lambda k: (F.lit(1) + F.floor((n - WINDOW) * k / (WINDOWS - 1))).cast("int")
+    return F.when(n <= WINDOWS * WINDOW, text).otherwise(F.concat_ws(" ", *[F.substring(text, start(k), F.lit(WINDOW)) for k in range(WINDOWS)]))
+
+
+def learn_samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
+    """For each language the normalised windows of at most max_docs rows, chosen by a hash of their ids."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.left(F.col(text_col), F.lit(2 * piece)).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"))
+    rows = rows.select(F.col(lang_col).alias("lang"), spread(F.col(text_col)).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"))
     first = Window.partitionBy("lang").orderBy("h", "text")
     got = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= max_docs).orderBy("lang", "k").select("lang", "text").toArrow()
     out: dict[str, bytes] = {}
     for lang, text in zip(got["lang"].to_pylist(), got["text"].to_pylist(), strict=True):
         data, offsets = as_bytes(pa.array([text]))
-        own = out.get(lang, b"")
-        out[lang] = own + normalised(data, offsets)[0].tobytes()[: min(piece, max_bytes - len(own))] + b" "
+        out[lang] = out.get(lang, b"") + normalised(data, offsets)[0].tobytes() + b" "
     return out
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import html_extract as H
 from lodestone.llm import langid, piece_sampling, quality, spans, sstable
@@ -222,6 +223,41 @@ def test_phrases_by_brute_force():
     assert abs(rate[0] * len(text) / p.bits[0] - phrases) <= 1 and rate[1] >= 0
 
 
+def test_moves_are_those_of_the_automata():
+    moves = [m for x in (PROSE, DEUTSCH, "aaaa", "", "абв где жз абв") for m in langid.automaton(x.encode())]
+    packed = langid.Moves(moves)
+    states, byte = (x.ravel() for x in np.meshgrid(np.arange(len(moves)), np.arange(256), indexing="ij"))
+    got = packed.next(states.astype(np.int32), byte.astype(np.int32)).reshape(len(moves), 256)
+    assert all(got[k, c] == m.get(c, -1) for k, m in enumerate(moves) for c in range(256))
+    assert len(packed.to) < 3 * sum(map(len, moves)) + 600
+
+
+def test_languages_by_brute_force():
+    samples = {"en": PROSE.lower().encode()[:300], "de": DEUTSCH.lower().encode(), "xx": b"zzz yyy zzz yyy xyz"}
+    texts = [PROSE[200:], DEUTSCH[40:], "zyx zzz yy", "Die Kinder waited on the quay", PROSE * 5, "q" * 700 + DEUTSCH]
+    data, offsets = langid.normalised(*spans.as_bytes(pa.array(texts)))
+    rates = langid.Parser(samples).rates(data, offsets)
+    for i in range(len(texts)):
+        whole = data[offsets[i] : offsets[i + 1]].tobytes()
+        for k, lang in enumerate(sorted(samples)):
+            phrases = 0
+            for lane in (whole[j : j + langid.LANE] for j in range(0, len(whole), langid.LANE)):
+                at = 0
+                while at < len(lane):
+                    n = 1
+                    while at + n < len(lane) and lane[at : at + n + 1] in samples[lang]:
+                        n += 1
+                    at, phrases = at + n, phrases + 1
+            assert rates[i, k] == pytest.approx(phrases * np.log2(len(samples[lang])) / len(whole)), (i, lang)
+
+
+def test_samples_come_from_whole_texts(spark):
+    long = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(3000))
+    df = spark.createDataFrame([(1, long, "en"), (2, "short one", "de"), (3, None, "de")], "doc_id long, text string, lang string")
+    got = langid.learn_samples(df, "doc_id", "text", "lang", F.lit(True))
+    assert got["de"] == b"short one " and got["en"].startswith(long[:20].encode()) and long[-20:].encode() in got["en"] and len(got["en"]) <= langid.WINDOWS * (langid.WINDOW + 1)
+
+
 def test_odd_languages(odd, none):
     got = langid.predict_languages(odd).collect()
     assert len(got) == len(ODD)
