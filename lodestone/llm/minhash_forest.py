@@ -11,28 +11,34 @@ common prefix stand side by side; a node's candidates are its next
 `NEIGHBOURS` nodes, and the least node of its region and of each wider region
 that was cut.  Candidates grow with the nodes, not with a region's square.
 
-Candidates whose 128 one-byte sketches agree less than `SKETCH_LEAST` (over four
-standard errors below the threshold) go.  Links are confirmed on the full sets:
-first each node's likeliest candidates, at last all candidates whose ends are not
-connected yet.  In regions with more nodes than a node has neighbours, the
-sketches of nodes outside the region's largest component are then compared with
-those of all its other components, in blocks, and every pair that agrees enough
-is compared on its full sets, unless its ends are connected by then.  For this a
-region that was cut is whole again: all its blocks meet, two in a task.
-Sets are computed from the texts again, for nodes in a candidate
-pair or such a region only: a bitmap of fixed size, which any number of nodes may fill, lets a
+Candidates whose 128 one-byte sketches agree less than the threshold less
+`ERRORS` standard errors go; what remains connects nodes to groups.  In regions
+with more nodes than a node has neighbours, the sketches of nodes outside the
+region's largest group are then compared with those of all its other groups, in
+blocks, and groups with a pair that agrees enough are joined.  For this a region
+that was cut is whole again: all its blocks meet, two in a task.
+
+So all nodes that may be linked are in one group.  A group of up to
+`region_rows` nodes and `TASK_SHINGLES` shingles goes to one task, each node's
+full set once, and every pair whose ends are not connected yet is compared on
+its full sets.  In a larger group each node's two likeliest candidates are
+compared first; then its nodes outside the largest component meet all others in
+blocks, by sketches, and by full sets where those agree enough.
+Sets are computed from the texts again, for nodes in a
+group only: a bitmap of fixed size, which any number of nodes may fill, lets a
 worker leave out the others.
 
 Defined results: texts that are null or hold no word have the empty set, link to
 nothing and are their own component; a text with fewer words than a shingle has
 its whole sequence as its one shingle; rows with a null id take part, and a
 component's id is its least non-null id; rows that repeat an id are rows by
-themselves with one component; an empty table gives an empty result.
+themselves with one component; a text of any length is read whole, in pieces; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +55,11 @@ MISSED = 2e-5
 NEIGHBOURS = 4
 SHINGLE, THRESHOLD = 5, 80
 REGION_ROWS = 4096
-SKETCH_LEAST = 0.72
+#: Shingles whose sets meet in one task.
+TASK_SHINGLES = 1 << 21
+#: Standard errors by which a pair at the threshold may fall short in its sketches.
+ERRORS = 4.1
 BITMAP_BITS = 27
-#: Pairs (16 bytes each) up to this count are broadcast.
-BROADCAST_PAIRS = 100_000
 #: Bytes of an Arrow batch of texts or sets.
 BATCH = 8 << 20
 
@@ -176,7 +183,13 @@ def sketches(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(short, "node long, sketch binary")
 
 
-def likely(pairs: DataFrame, sketch: DataFrame, least: float = SKETCH_LEAST) -> DataFrame:
+def sketch_least(percent: int) -> float:
+    """The share of equal sketch bytes that a pair at the threshold has at least, but for a chance of some 2e-5."""
+    j = percent / 100
+    return j - ERRORS * (j * (1 - j) / (TREES * DEPTH)) ** 0.5
+
+
+def likely(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
     """Pairs whose sketches agree enough: a, b, agree (equal bytes, of TREES * DEPTH)."""
 
     def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +210,39 @@ def _asking(comp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return comp, np.flatnonzero(comp != size.argmax() if side[0] < 0 else side == 1)
 
 
+def _near(sketch: np.ndarray, block: np.ndarray, least: float) -> np.ndarray:
+    """For some rows against all: whether their sketches agree enough."""
+    return (sketch[block][:, None, :] == sketch[None, :, :]).sum(2) >= least * sketch.shape[1]
+
+
+def _blocks(rows: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(rows, -(-len(rows) // 64)) if len(rows) else []
+
+
+def _pairs(node: np.ndarray, ends: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    i, j = np.array(ends, np.int64).reshape(-1, 2).T
+    return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+
+def _joins(node: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """In one task: pairs that join all components between which sketches agree enough."""
+    comp, outside = _asking(comp, side)
+    ends = []
+    for block in _blocks(outside):
+        for i, good in zip(block.tolist(), _near(sketch, block, least), strict=True):
+            for j in np.flatnonzero(good & (comp != comp[i])).tolist():
+                if comp[j] != comp[i]:
+                    ends.append((i, j))
+                    comp[comp == comp[j]] = comp[i]
+    return _pairs(node, ends)
+
+
 def _wanted(comp: np.ndarray, sketch: np.ndarray, side: np.ndarray, least: float) -> np.ndarray:
     """In one task: mask of the nodes whose sketch agrees enough with that of a node in another component."""
     comp, outside = _asking(comp, side)
     out = np.zeros(len(comp), bool)
-    for block in np.array_split(outside, -(-len(outside) // 64)) if len(outside) else []:
-        good = (sketch[block][:, None, :] == sketch[None, :, :]).sum(2) >= least * sketch.shape[1]
-        good &= comp[block][:, None] != comp[None, :]
+    for block in _blocks(outside):
+        good = _near(sketch, block, least) & (comp[block][:, None] != comp[None, :])
         out[block] |= good.any(1)
         out |= good.any(0)
     return out
@@ -213,12 +252,23 @@ def _links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.n
     """In one task: links that join all components between which full sets are near enough, found by an inverted index."""
     comp, outside = _asking(comp, side)
     n = np.array([len(s) for s in sets])
+    ends = []
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        if len(outside) and comp[0] != comp[1] and 100 * both >= percent * (n.sum() - both):
+            ends.append((0, 1))
+        return _pairs(node, ends)
     at = np.cumsum(n) - n
     _, term, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     holder = np.repeat(np.arange(len(sets)), n)[np.argsort(term, kind="stable")]
     start = np.cumsum(count) - count
-    ends = []
+    main = int(np.flatnonzero(comp == np.bincount(comp).argmax())[0])
+    if side[0] < 0:
+        # The main node asks first, so that those near to it need not: whatever is connected with it is compared by the others.
+        outside = np.concatenate([[main], outside])
     for i in outside.tolist():
+        if side[0] < 0 and i != main and comp[i] == comp[main]:
+            continue
         both = np.zeros(len(sets), np.int64)
         for k in range(at[i], at[i] + n[i], 4096):
             mine = term[k : min(k + 4096, at[i] + n[i])]
@@ -226,26 +276,29 @@ def _links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.n
             both += np.bincount(holder[np.repeat(start[mine] - (np.cumsum(c) - c), c) + np.arange(c.sum())], minlength=len(sets))
         for j in np.flatnonzero((100 * both >= percent * (n + n[i] - both)) & (comp != comp[i])).tolist():
             if comp[j] != comp[i]:
-                ends.append((node[i], node[j]))
+                ends.append((i, j))
                 comp[comp == comp[j]] = comp[i]
-    a, b = np.array(ends, np.int64).reshape(-1, 2).T
-    return np.minimum(a, b), np.maximum(a, b)
+    return _pairs(node, ends)
 
 
 def _tasks(rows: DataFrame, region_rows: int) -> DataFrame:
-    """region (here a task's name), node, comp, side: each region of up to region_rows nodes in one task (side -1), others in tasks that meet all pairs of blocks.
+    """region (here a task's name), node, comp, side, from region, whole, node, comp, n: rows without a whole stay in their region's task (side -1), others in tasks that meet all pairs of blocks.
 
-    In a larger region the nodes outside its largest component (side 1) are
-    dealt into chunks, all its nodes (side 0) into blocks, and each chunk meets
-    each block, so that any two nodes that are apart meet.
+    Of a whole, the nodes outside its largest component (side 1) are dealt into
+    chunks, all its nodes (side 0) into blocks, and each chunk meets each block,
+    so that any two nodes that are apart meet.  Chunks and blocks have some
+    region_rows nodes and TASK_SHINGLES shingles at most.
     """
     small = rows.filter("whole is null").select("region", "node", "comp", F.lit(-1).alias("side"))
-    large = rows.filter("whole is not null").select("whole", "node", "comp")
-    size = large.groupBy("whole", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("whole").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("main"))
-    size = size.filter(F.col("n") > F.col("main.c")).select(
-        "whole", F.col("main.comp").alias("main"), F.ceil(F.col("n") / region_rows).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("main.c")) / region_rows).cast("int").alias("chunks")
-    )
-    # So few that they are broadcast: a region of this size has region_rows nodes at least.
+    large = rows.filter("whole is not null").select("whole", "node", "comp", "n").distinct()
+    size = large.groupBy("whole", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    size = size.groupBy("whole").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "n", "comp")).alias("main")).filter(F.col("c") > F.col("main.c"))
+
+    def parts(c: Column, n: Column) -> Column:
+        return F.greatest(F.ceil(c / region_rows), F.ceil(n / TASK_SHINGLES)).cast("int")
+
+    size = size.select("whole", F.col("main.comp").alias("main"), parts(F.col("c"), F.col("n")).alias("blocks"), parts(F.col("c") - F.col("main.c"), F.col("n") - F.col("main.n")).alias("chunks"))
+    # So few that they are broadcast: a whole has more than region_rows nodes or TASK_SHINGLES shingles.
     large = large.join(F.broadcast(size), "whole")
 
     def own(count: str) -> Column:
@@ -259,29 +312,20 @@ def _tasks(rows: DataFrame, region_rows: int) -> DataFrame:
     return small.union(members.unionByName(asking).select(F.xxhash64("whole", "chunk", "block").alias("region"), "node", "comp", "side"))
 
 
-def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, sets: DataFrame, least: float, percent: int, region_rows: int = REGION_ROWS) -> DataFrame:
-    """Links a < b across components, inside the regions that hold more nodes than a node has neighbours.
-
-    A task holds a region, or two blocks of a large one, and compares its
-    sketches in blocks.  The nodes of pairs that agree enough meet again with
-    their full sets, and every such pair is compared whose ends are not
-    connected by then.  What goes to a task and what it gives grows with its
-    nodes, not with its pairs.
-    """
-    rows = _tasks(dense.join(comp, "node", "left").select("region", "whole", "node", F.coalesce("comp", "node").alias("comp")), region_rows)
-    mixed = rows.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
-    rows = rows.join(mixed, "region").join(sketch, "node")
-    parts = max(1, dense.rdd.getNumPartitions())
+def _by_region(rows: DataFrame, one: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """one() of each region's rows, streamed in sorted order so that a task holds one region; regions of one component are left out."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("minhash_forest")
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 t = pa.Table.from_batches(held).combine_chunks()
-                sig = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1)
                 held.clear()
-                yield from t.select(["region", "node", "comp", "side"]).filter(pa.array(_wanted(t["comp"].to_numpy(), sig, t["side"].to_numpy(), least))).to_batches()
+                comp = t["comp"].to_numpy()
+                if (comp != comp[0]).any():
+                    yield from one(t).to_batches()
 
         last = None
         for batch in batches_:
@@ -292,17 +336,69 @@ def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, sets: DataFra
                     yield from flush()
                 held.append(batch.slice(i, j - i))
                 last = region[i]
+            trim()
         yield from flush()
 
-    def link(t: pa.Table) -> pa.Table:
-        worker_cache("minhash_forest")
-        trim()
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, schema)
+
+
+def _sketched(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1)
+    return t["node"].to_numpy(), t["comp"].to_numpy(), sketch, t["side"].to_numpy()
+
+
+def crossing(dense: DataFrame, comp: DataFrame, sketch: DataFrame, least: float, region_rows: int = REGION_ROWS) -> DataFrame:
+    """Pairs a < b that join groups inside the regions that hold more nodes than a node has neighbours.
+
+    A task holds a region, or two blocks of a large one, and compares its
+    sketches in blocks.  What goes to a task and what it gives grows with its
+    nodes, not with its pairs.
+    """
+    rows = dense.join(comp, "node", "left").select("region", "whole", "node", F.coalesce("comp", "node").alias("comp"), F.lit(0).alias("n"))
+    rows = _tasks(rows, region_rows)
+    mixed = rows.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
+    rows = rows.join(mixed, "region").join(sketch, "node").select("region", "node", "comp", "side", "sketch")
+
+    def one(t: pa.Table) -> pa.Table:
+        node, own, near, side = _sketched(t)
+        a, b = _joins(node, own, near, side, least)
+        return pa.table({"a": a, "b": b})
+
+    return _by_region(rows, one, "a long, b long")
+
+
+def _linker(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def one(t: pa.Table) -> pa.Table:
         a, b = _links(t["node"].to_numpy(), t["comp"].to_numpy(), t["side"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]], percent)
         return pa.table({"a": a, "b": b})
 
-    rows = rows.select("region", "node", "comp", "side", "sketch").repartition(parts, "region").sortWithinPartitions("region")
-    wanted = table(rows.mapInArrow(run, "region long, node long, comp long, side int"), "forest-wanted", BATCH)
-    return wanted.join(sets, "node").select("region", "node", "comp", "side", "shingles").groupBy("region").applyInArrow(link, "a long, b long").distinct()
+    return one
+
+
+def group_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links a < b that join all that is linked, in groups (node, grp, shingles) of which each fits in a task."""
+    rows = sets.select(F.col("grp").alias("region"), "node", F.col("node").alias("comp"), F.lit(-1).alias("side"), "shingles")
+    return _by_region(rows, _linker(percent), "a long, b long")
+
+
+def large_group_links(sets: DataFrame, pairs: DataFrame, sketch: DataFrame, percent: int, region_rows: int = REGION_ROWS) -> DataFrame:
+    """The same in groups that do not fit (node, grp, n, shingles); pairs: a, b, agree, their likely candidates."""
+    least = sketch_least(percent)
+    # Each node's two likeliest candidates first; they connect most of what is connected at all.
+    both = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select("b", "a", "b", "agree"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "a", "b"))
+    first = table(confirmed(both.withColumn("rank", rank).filter("rank <= 2").select("a", "b").distinct(), sets, percent), "forest-links", BATCH)
+    comp = components(first)
+    rows = sets.select("node", "grp", "n").join(comp, "node", "left").select(F.col("grp").alias("region"), F.col("grp").alias("whole"), "node", F.coalesce("comp", "node").alias("comp"), "n")
+    rows = _tasks(rows, region_rows).join(sketch, "node").select("region", "node", "comp", "side", "sketch")
+
+    def one(t: pa.Table) -> pa.Table:
+        _, own, near, side = _sketched(t)
+        return t.select(["region", "node", "comp", "side"]).filter(pa.array(_wanted(own, near, side, least)))
+
+    wanted = table(_by_region(rows, one, "region long, node long, comp long, side int"), "forest-wanted", BATCH)
+    rows = wanted.join(sets.select("node", "shingles"), "node").select("region", "node", "comp", "side", "shingles")
+    return first.union(_by_region(rows, _linker(percent), "a long, b long"))
 
 
 def _bitmap(ends: DataFrame, bits: int) -> np.ndarray:
@@ -333,8 +429,7 @@ def full_sets(docs: DataFrame, text_col: str, size: int, bitmap: np.ndarray) ->
                     seen.update(names[mine].tolist())
                     yield pa.RecordBatch.from_arrays([pa.array(names[mine]), pa.array([sets[i].tobytes() for i in mine], pa.binary())], ["node", "shingles"])
 
-    rows = docs.select(F.col(text_col).alias("_t")).mapInArrow(run, "node long, shingles binary")
-    return rows.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return docs.select(F.col(text_col).alias("_t")).mapInArrow(run, "node long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -352,54 +447,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # Few pairs go to the sets; many meet them in a shuffle.
-    pairs = pairs.select("a", "b")
-    if pairs.count() <= BROADCAST_PAIRS:
-        pairs = F.broadcast(pairs)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after further links; of the former ones, each node needs its component's least node only."""
-    return components(links if comp is None else links.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-
-
-def _linked(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after further links."""
-    links = table(links, "forest-links", BATCH)
-    return comp if links.isEmpty() else _joined(comp, links)
-
-
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are in two components."""
-    out = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def groups_of(regions: DataFrame, pairs: DataFrame, sketch: DataFrame, least: float, region_rows: int = REGION_ROWS) -> DataFrame:
+    """node, comp: the group of each node that may be linked with another, from likely pairs and from crowded regions."""
+    comp = components(pairs)
+    # In crowded regions neighbours are few of all.
+    dense = regions.filter((F.col("n") > NEIGHBOURS + 1) | F.col("whole").isNotNull()).select("region", "whole", "node")
+    if dense.isEmpty():
+        return comp
+    more = table(crossing(dense, comp, sketch, least, region_rows), "forest-joins", BATCH)
+    # Of the groups so far, each node needs its group's least node only.
+    return comp if more.isEmpty() else components(more.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD, region_rows: int = REGION_ROWS) -> DataFrame:
     """One row a document: id, n_shingles, component_id, kept (the id is its component's)."""
-    least = SKETCH_LEAST - (85 - percent) / 100
+    least = sketch_least(percent)
     rows = table(signed(docs, id_col, text_col, shingle), "forest-rows", BATCH)
-    nodes = table(rows.filter("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "forest-nodes")
+    nodes = table(rows.filter("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "forest-nodes")
     # Written, so that no task runs this function and another one behind it.
-    sketch = table(sketches(nodes), "forest-sketches", BATCH)
+    sketch = table(sketches(nodes.select("node", "sig")), "forest-sketches", BATCH)
     regions = regions_of(nodes, least_depth(percent), region_rows)
-    dense = regions.filter((F.col("n") > 2 * NEIGHBOURS + 1) | F.col("whole").isNotNull()).select("region", "whole", "node")
     pairs = table(likely(pairs_of(regions), sketch, least), "forest-pairs")
-    compared = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node"))
-    sets = table(full_sets(docs, text_col, shingle, _bitmap(compared, BITMAP_BITS)), "forest-sets", BATCH)
-    # Each node's two likeliest candidates first; they connect most of what is connected at all, and the rest need not be compared.
-    both = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select("b", "a", "b", "agree"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "a", "b"))
-    tried = table(both.withColumn("rank", rank).filter("rank <= 2").select("a", "b").distinct(), "forest-ends")
-    comp = _joined(None, table(confirmed(tried, sets, percent), "forest-links", BATCH))
-    rest = table(_apart(pairs.join(tried, ["a", "b"], "left_anti"), comp), "forest-ends")
-    comp = _linked(comp, confirmed(rest, sets, percent))
-    # In dense regions neighbours are few of all: compare all that is still apart there.
-    if not dense.isEmpty():
-        comp = _linked(comp, crossing(dense, comp, sketch, sets, least, percent, region_rows))
+    grouped = groups_of(regions, pairs, sketch, least, region_rows).withColumnRenamed("comp", "grp")
+    grouped = grouped.join(nodes.select("node", "n"), "node")
+    large = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter((F.col("c") > region_rows) | (F.col("s") > TASK_SHINGLES)).select("grp", F.lit(True).alias("large"))
+    # So few that they are broadcast: each holds more than region_rows nodes or TASK_SHINGLES shingles.
+    grouped = table(grouped.join(F.broadcast(large), "grp", "left"), "forest-groups")
+    found = full_sets(docs, text_col, shingle, _bitmap(grouped, BITMAP_BITS)).join(grouped, "node")
+    sets = table(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("grp", "n", "large", "shingles")]), "forest-sets", BATCH)
+    links = table(group_links(sets.filter("large is null"), percent), "forest-links", BATCH)
+    big = grouped.filter("large")
+    if not big.isEmpty():
+        own = pairs.join(big.select(F.col("node").alias("a")), "a", "left_semi")
+        links = links.union(table(large_group_links(sets.filter("large"), own, sketch, percent, region_rows), "forest-links", BATCH))
+    comp = components(links)
     for done in (nodes, sketch, regions, pairs, sets):
         drop(done)
     placed = rows.select("_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
