@@ -105,7 +105,7 @@ def chaos_map(space: DataFrame, transient: int = TRANSIENT, rounds: int = ROUNDS
 
 def exponent_grid(found: DataFrame, decimals: int = 6) -> DataFrame:
     """The map as a table, one row for each a and one column for each b, for plotting."""
-    return found.groupBy(F.round("a", decimals).alias("a")).pivot("b").agg(F.first("exponent")).orderBy("a")
+    return found.select(F.round("a", decimals).alias("a"), F.round("b", decimals).alias("b"), "exponent").groupBy("a").pivot("b").agg(F.first("exponent")).orderBy("a")
 
 
 def henon_orbit(spark: SparkSession, steps: int = 1_000_000, a: float = ORBIT_A, b: float = ORBIT_B, x: float = ORBIT_X, y: float = ORBIT_Y, burn_in: int = 0) -> DataFrame:

@@ -135,7 +135,7 @@ def pagerank_step(ranks: DataFrame, links: DataFrame, damping: float = DAMPING,
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = DAMPING, base_rank: str = "zero", dtype: str = "double", cut_every: int = 4) -> DataFrame:
     """node, rank after so many steps from rank 1; the lineage is cut every few steps."""
     ranks, links = rank_state(edges)
-    links = links.persist()
+    links = cut(links)
     ranks = ranks.withColumn("rank", F.col("rank").cast(dtype))
     for k in range(iterations):
         ranks = pagerank_step(ranks, links, damping, base_rank, dtype)

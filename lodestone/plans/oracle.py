@@ -67,6 +67,35 @@ def _knn(k: int) -> str:
     SELECT id, neighbor_id, round(d, 12) AS distance, zoom::INT AS zoom, done FROM found QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, neighbor_id) <= {k}"""
 
 
+#: Each slice's lower median is a node; the others go on below and above it, along the next axis.
+TREE = f"""WITH RECURSIVE {WIDE}, t(quadkey, id, lng, lat, path, depth, r, n) AS (
+    SELECT *, row_number() OVER (PARTITION BY quadkey ORDER BY lng, id), count(*) OVER (PARTITION BY quadkey) FROM (SELECT {quadkey(4)} AS quadkey, id::VARCHAR AS id, lng, lat, '' AS path, 0 AS depth FROM places)
+    UNION ALL SELECT *, row_number() OVER (PARTITION BY quadkey, path ORDER BY CASE WHEN depth % 2 = 0 THEN lng ELSE lat END, id), count(*) OVER (PARTITION BY quadkey, path)
+    FROM (SELECT quadkey, id, lng, lat, path || CASE WHEN r < (n - 1) // 2 + 1 THEN 'b' ELSE 'a' END AS path, depth + 1 AS depth FROM t WHERE r <> (n - 1) // 2 + 1)),
+    nodes AS (SELECT * FROM t WHERE r = (n - 1) // 2 + 1)
+    SELECT x.quadkey, x.id, (x.depth = 0)::INT AS is_root, (x.depth % 2)::INT AS axis, a.id AS above_child, b.id AS below_child, x.lng, x.lat FROM nodes x
+    LEFT JOIN nodes a ON a.quadkey = x.quadkey AND a.path = x.path || 'a' LEFT JOIN nodes b ON b.quadkey = x.quadkey AND b.path = x.path || 'b'"""
+
+
+def _map(transient: int, rounds: int, skipped: int = 100) -> str:
+    """m: a, b, exponent of the map of parameters after few rounds, in the same order of arithmetic."""
+    step = lambda x, y: f"b * {y} + 1e0 - a * {x} * {x}"
+    start = "1e-7 / sqrt(2e0)"
+    return f"""WITH RECURSIVE aa(k, a) AS (SELECT 0, 1e0 UNION ALL SELECT k + 1, a + (1.4e0 - 1e0) / 8 FROM aa WHERE k < 8), bb(k, b) AS (SELECT 0, 0.1e0 UNION ALL SELECT k + 1, b + (0.3e0 - 0.1e0) / 4 FROM bb WHERE k < 4),
+    o(a, b, k, x, y, ox, oy, total, lost) AS (SELECT a, b, 0, 0e0, 0e0, 0e0, 0e0, 0e0, false FROM aa, bb
+    UNION ALL SELECT a, b, k + 1, nx, x, CASE WHEN k + 1 < {transient} THEN 0e0 WHEN k + 1 = {transient} THEN nx + {start} ELSE nx + ax * (1e-7 / d) END, CASE WHEN k + 1 < {transient} THEN 0e0 WHEN k + 1 = {transient} THEN x + {start} ELSE x + ay * (1e-7 / d) END,
+    CASE WHEN k + 1 - {transient} > {skipped} THEN total + ln(d / 1e-7) ELSE total END, lost OR (k >= {transient} AND NOT abs(nx) + abs(x) < 1e7)
+    FROM (SELECT *, CASE WHEN k < {transient} OR lost THEN 1e0 ELSE sqrt(ax * ax + ay * ay) END AS d FROM (SELECT *, px - nx AS ax, ox - x AS ay FROM (SELECT *, {step('x', 'y')} AS nx, {step('ox', 'oy')} AS px FROM o))) WHERE k < {transient + rounds} AND NOT lost),
+    m AS (SELECT round(aa.a, 6) AS a, round(bb.b, 6) AS b, round(o.total / {rounds - skipped - 1}, 6) AS exponent FROM aa CROSS JOIN bb LEFT JOIN o ON o.a = aa.a AND o.b = bb.b AND o.k = {transient + rounds} AND NOT o.lost)"""
+
+
+def _fit(norm: str, test: str) -> str:
+    """Descent on the sums of the features."""
+    return f"""SELECT '{norm}' AS norm, step AS steps, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM (WITH RECURSIVE s AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM (SELECT l_quantity / 50 AS x, l_extendedprice / 100000 AS y FROM lineitem)),
+    g(step, w0, w1, moved) AS (SELECT 0, 0e0, 0e0, 1e9 UNION ALL SELECT step + 1, v0, v1, (v0 - w0) * (v0 - w0) + (v1 - w1) * (v1 - w1) FROM
+    (SELECT step, w0, w1, moved, w0 - 0.5e0 / n * (n * w0 + sx * w1 - sy) AS v0, w1 - 0.5e0 / n * (sx * w0 + sxx * w1 - sxy) AS v1 FROM g, s) WHERE step < 2 OR NOT {test}) SELECT * FROM g ORDER BY step DESC LIMIT 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "grep": "SELECT doc_id, text FROM documents WHERE regexp_full_match(upper(text), '.*LICENSE.*', 's')",
@@ -89,6 +118,7 @@ def oracle_sql() -> dict[str, str]:
         "corr_sweep": f"WITH {POINTS} SELECT round(count(*) FILTER (WHERE {D2} < eps * eps) / count(*)::DOUBLE, 12) AS correlation, eps FROM points p, points d, {SWEEP} GROUP BY eps",
         "knn_bruteforce": f"WITH {WIDE} SELECT id, round({SPREAD}, 6) AS dist2 FROM places p ORDER BY {SPREAD}, id LIMIT 10",
         "kdtree_search": f"WITH {WIDE} SELECT id, round({SPREAD}, 6) AS dist2 FROM places p ORDER BY {SPREAD}, id::VARCHAR LIMIT 10",
+        "kdtree_forest": TREE,
         "kdtree_roots": f"{TILED} SELECT quadkey, id, lng, lat FROM n WHERE r = (n - 1) // 2 + 1",
         "kdtree_branches": f"{TILED} SELECT id, lng, lat FROM n WHERE r <> (n - 1) // 2 + 1",
         "quadkey": f"WITH {WIDE} SELECT id, " + ", ".join(f"{quadkey(z)} AS z{z}" for z in (4, 7, 20, 22)) + " FROM places",
@@ -113,5 +143,11 @@ def oracle_sql() -> dict[str, str]:
         "lm_step": _descent(1) + " SELECT round(w0, 9) AS w0, round(w1, 9) AS w1 FROM g1",
         "lm_steps": _descent(3) + " SELECT step, round(w0, 9) AS w0, round(w1, 9) AS w1 FROM (FROM g1 UNION ALL FROM g2 UNION ALL FROM g3)",
         "rect_space": "SELECT round(0.6e0 + a * (1e0 / 40), 9) AS x0, round(-1e0 + b * (2e0 / 20), 9) AS x1 FROM range(41) AS s(a), range(21) AS t(b)",
-        "henon_orbit": "WITH RECURSIVE o(step, x, y) AS (SELECT 1::BIGINT, 0.1e0 + 1e0 - 1.4e0 * 0.1e0 * 0.1e0, 0.3e0 * 0.1e0 UNION ALL SELECT step + 1, y + 1e0 - 1.4e0 * x * x, 0.3e0 * x FROM o WHERE step < 60) SELECT step, round(x, 6) AS x, round(y, 6) AS y FROM o",
+        "lyapunov_map_short": _map(20, 140) + " SELECT a, b, exponent FROM m",
+        "lyapunov_grid_short": _map(20, 140) + " SELECT a, " + ", ".join(f"max(exponent) FILTER (WHERE b = {b}) AS b{str(b).replace('.', '_')}" for b in (0.1, 0.15, 0.2, 0.25, 0.3)) + " FROM m GROUP BY a",
+        "descent": _fit("sq_l2", "moved < 1e-6") + " UNION ALL " + _fit("l2", "sqrt(moved) < 1e-2"),
+        "tsv_round_trip": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+        "nested_round_trip": f"WITH {EDGES}, nodes AS (SELECT v1 AS node FROM edges UNION SELECT v2 FROM edges) SELECT node, 1e0 AS rank, coalesce(v2, 'dummy') AS node_b FROM nodes LEFT JOIN edges ON v1 = node",
+        "triads_streamed": f"WITH {ORIENTED}, t AS (SELECT v1 AS t1_v1, v2 AS t1_v2, v1 AS t2_v1, lead(v2) OVER (PARTITION BY v1 ORDER BY v2) AS t2_v2 FROM ori) SELECT * FROM t WHERE t2_v2 IS NOT NULL",
+        "henon_orbit_60": "WITH RECURSIVE o(step, x, y) AS (SELECT 1::BIGINT, 0.1e0 + 1e0 - 1.4e0 * 0.1e0 * 0.1e0, 0.3e0 * 0.1e0 UNION ALL SELECT step + 1, y + 1e0 - 1.4e0 * x * x, 0.3e0 * x FROM o WHERE step < 60) SELECT step, round(x, 6) AS x, round(y, 6) AS y FROM o",
     }

@@ -10,7 +10,8 @@ from lodestone.functions import relational as R
 from lodestone.functions.register import register
 from lodestone.operators import chaos, geo, graph, points, process, regression, text
 from lodestone.plans import inputs as I
-from lodestone.sources import geojson
+from lodestone.session import shared_path
+from lodestone.sources import geojson, tsv
 from lodestone.sources.rect_space import rect_space
 
 SPACE = "0.6,1.6,41\n-1,1,21"
@@ -238,20 +239,74 @@ def rect_space_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def henon_orbit(spark: SparkSession, d: str) -> DataFrame:
+    return chaos.henon_orbit(spark)
+
+
+def henon_orbit_60(spark: SparkSession, d: str) -> DataFrame:
+    """So few steps that arithmetic in another order gives the same six digits."""
     return _rounded(chaos.henon_orbit(spark, 60, x=0.1, y=0.1), "x", "y", digits=6)
 
 
+def _map(spark: SparkSession, **rounds: int) -> DataFrame:
+    return chaos.chaos_map(rect_space(spark, MAP_SPACE, splits=8), **rounds)
+
+
 def lyapunov_map(spark: SparkSession, d: str) -> DataFrame:
-    return chaos.chaos_map(rect_space(spark, MAP_SPACE, splits=8), transient=1000, rounds=4000)
+    return _map(spark)
+
+
+def lyapunov_map_short(spark: SparkSession, d: str) -> DataFrame:
+    """The map after few rounds, which SQL can repeat; null where a system leaves all bounds."""
+    found = _map(spark, transient=20, rounds=140)
+    return found.select(F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.when(~F.isnan("exponent"), F.col("exponent")), 6).alias("exponent"))
 
 
 def lyapunov_grid(spark: SparkSession, d: str) -> DataFrame:
-    return chaos.exponent_grid(chaos.chaos_map(rect_space(spark, MAP_SPACE, splits=8), transient=100, rounds=500))
+    return chaos.exponent_grid(_map(spark))
+
+
+def lyapunov_grid_short(spark: SparkSession, d: str) -> DataFrame:
+    grid = chaos.exponent_grid(_map(spark, transient=20, rounds=140))
+    return grid.select("a", *[F.round(F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")), 6).alias("b" + c.replace(".", "_")) for c in grid.columns[1:]])
 
 
 def lyapunov_lorenz(spark: SparkSession, d: str) -> DataFrame:
     systems = spark.createDataFrame([(10.0, 8 / 3, 28.0), (10.0, 8 / 3, 14.0)], "sigma double, beta double, rho double")
-    return systems.withColumn("exponent", chaos.lyapunov_lorenz(F.col("sigma"), F.col("beta"), F.col("rho"), transient=1000, rounds=5000))
+    return systems.withColumn("exponent", chaos.lyapunov_lorenz(F.col("sigma"), F.col("beta"), F.col("rho")))
+
+
+# Sources and sinks
+
+
+def tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Both parts of a split, stored, and read again by a glob."""
+    c = I.read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    base = shared_path(spark, "tsv")
+    tsv.store_both(R.split_by(c, rich=F.col("c_acctbal") > 5000, others=F.col("c_acctbal") <= 5000), base)
+    return tsv.read_tsv(spark, f"{base}/*", "c_custkey bigint, c_name string, c_acctbal double")
+
+
+def nested_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices with a bag of their links as text, read again and flattened."""
+    state = graph.pagerank_init(I.edges(spark, d)).select("node", F.col("rank").cast("double").alias("rank"), "out_links")
+    path = shared_path(spark, "state")
+    tsv.write_nested(state, path)
+    back = tsv.read_nested(spark, path, state.schema)
+    return back.select("node", "rank", F.inline("out_links"))
+
+
+def triads_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring links of a vertex, paired by a child process over sorted partitions."""
+    links = graph.oriented_edges(graph.augment_degrees(graph.undirected(I.edges(spark, d)))).select("v1", "v2").repartition("v1").sortWithinPartitions("v1", "v2")
+    pair = r"""awk -F'\t' -v OFS='\t' '{ if ($1 == p) print p, q, $1, $2; p = $1; q = $2 }'"""
+    return process.stream_through(links, pair, "t1_v1 string, t1_v2 string, t2_v1 string, t2_v2 string")
+
+
+def descent(spark: SparkSession, d: str) -> DataFrame:
+    """Descent until a step is small, by both norms."""
+    features = regression.line_features(I.line_rows(spark, d))
+    found = [(norm, *regression.fit(features, 2, alpha=0.5, start=[0.0, 0.0], norm=norm, tol=tol)) for norm, tol in (("sq_l2", 1e-6), ("l2", 1e-2))]
+    return spark.createDataFrame([(norm, steps, round(w[0], 6), round(w[1], 6)) for norm, w, steps in found], "norm string, steps int, w0 double, w1 double")
 
 
 _ALL = [
@@ -259,7 +314,8 @@ _ALL = [
     pairwise_dist, corr_integral, corr_sweep, knn_bruteforce, kdtree_forest, kdtree_roots, kdtree_branches, kdtree_search,
     quadkey, haversine, sql_functions, knn_geo, geojson_features, geojson_collection,
     symmetrize, degrees, n1_edges, augment, oriented_edges, triangles, triads_consecutive, jaccard_pairs, jaccard, pagerank_init, pagerank_step, pagerank, pagerank_10,
-    lm_step, lm_steps, henon_orbit, lyapunov_map, lyapunov_grid, lyapunov_lorenz,
+    lm_step, lm_steps, descent, henon_orbit, henon_orbit_60, lyapunov_map, lyapunov_map_short, lyapunov_grid, lyapunov_grid_short, lyapunov_lorenz,
+    tsv_round_trip, nested_round_trip, triads_streamed,
 ]
 
 

@@ -10,10 +10,16 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+#: Points of an Arrow batch.
+BATCH = 65_536
+
+
 def parse_spec(text: str) -> list[tuple[float, float, int]]:
     """Dimensions of a specification; blank lines are skipped, others must hold three numbers."""
     out = []
@@ -56,14 +62,15 @@ class SpaceReader(DataSourceReader):
         parts = max(1, min(n, self.splits) if self.splits > 0 else n)
         return [Slice(n * k // parts, n * (k + 1) // parts) for k in range(parts)]
 
-    def read(self, partition: Slice) -> Iterator[tuple[float, ...]]:
-        axes = [axis(*d) for d in self.dims]
-        for i in range(partition.first, partition.last):
-            point = []
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        axes = [np.array(axis(*d)) for d in self.dims]
+        for first in range(partition.first, partition.last, BATCH):
+            i = np.arange(first, min(first + BATCH, partition.last))
+            columns = []
             for values in reversed(axes):
-                i, k = divmod(i, len(values))
-                point.append(values[k])
-            yield tuple(reversed(point))
+                i, k = np.divmod(i, len(values))
+                columns.append(pa.array(values[k]))
+            yield pa.RecordBatch.from_arrays(columns[::-1], [f"x{k}" for k in range(len(axes))])
 
 
 class RectangularSpace(DataSource):
