@@ -48,7 +48,7 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.components import components
 from lodestone.llm.shared import drop, table
-from lodestone.llm.spans import LOWER, Words, batches, chained, mix, trim, worker_cache
+from lodestone.llm.spans import batches, chained, mix, trim, word_hashes, worker_cache
 
 TREES, DEPTH, MIDDLE = 16, 8, 6
 MISSED = 2e-5
@@ -70,11 +70,10 @@ _ADD = _RNG.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64)
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words = Words(LOWER[data], offsets)
-    hashes = words.hashes()
+    hashes, bounds = word_hashes(data, offsets)
     grams = chained(hashes, size)
     out = []
-    for lo, hi in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         n = hi - lo
         if n >= size:
             out.append(np.unique(grams[lo : hi - size + 1]))

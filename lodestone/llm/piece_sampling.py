@@ -20,8 +20,9 @@ the pieces' bytes and gives the text back as it was, white space and all.
 
 Defined results: null is encoded as the empty text, which has no pieces; a null
 key seeds like the empty string; rows with one key and text get one result; an
-empty table gives an empty result; columns that are not named are kept by the
-callers that want them, and not read here.
+empty table gives an empty result; a text of any length is read whole, a long
+one in parts; columns that are not named are kept by the callers that want them,
+and not read here.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.spans import CONT, batches, mix, span_hashes, worker_cache
+from lodestone.llm.spans import CONT, as_bytes, groups, mix, span_hashes, trim, worker_cache
 
 SHARPNESS = 1.0
 CACHE_EDGES = 2_500_000
+#: Bytes of texts, or of a part of a long one, that are sampled at once.
+PART_BYTES = 1 << 20
 SPACE = "▁"
 
 
@@ -191,10 +194,33 @@ class Sampler:
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.ends = np.insert(self.hashes, at, hashes), np.insert(self.ends, at, base + seg_end - 1)
 
-    def sample(self, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of a group of texts, and each text's bounds among them."""
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Mask of the bytes (but for the first) before which no piece goes on."""
         cut = np.zeros(len(data), bool)
         cut[1:] = ~self.pieces.pairs[data[:-1], data[1:]] & ~CONT[data[1:]]
+        return cut
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Ranges of whole texts and their bytes; a long text alone, in parts that begin where it is cut."""
+        for i, j in groups(offsets, PART_BYTES):
+            lo, end = int(offsets[i]), int(offsets[j])
+            while end - lo > 2 * PART_BYTES and j == i + 1:
+                hi = lo + PART_BYTES
+                while hi < end:
+                    found = np.flatnonzero(self.cuts(data[hi - 1 : hi + 4096]))
+                    if len(found):
+                        hi += int(found[0]) - 1
+                        break
+                    hi = min(hi + 4096, end)
+                if hi >= end:
+                    break
+                yield i, j, lo, hi
+                lo = hi
+            yield i, j, lo, end
+
+    def sample(self, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, skipped: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+        """Piece ids of a group of texts, each text's bounds among them, and the number of segments; skipped: those of the text before this part."""
+        cut = self.cuts(data)
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
         bounds = np.searchsorted(starts, offsets)
@@ -209,7 +235,7 @@ class Sampler:
             self._learn(uniq[new], data, starts[where[new]], stops[where[new]])
             at = np.searchsorted(self.hashes, uniq)
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-        key = mix(seeds[text] + (np.arange(len(starts)) - bounds[text]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = mix(seeds[text] + (np.arange(len(starts)) - bounds[text] + skipped).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         live = np.arange(len(starts))
         node = self.ends[at][inverse]
         count = np.zeros(len(starts), np.int64)
@@ -243,7 +269,7 @@ class Sampler:
                 p = at[live[k]]
                 s = -1 - int(t[k])
                 out[p : p + n[k]] = self.spill[s : s + n[k]]
-        return out, np.concatenate([[0], ends])[bounds]
+        return out, np.concatenate([[0], ends])[bounds], len(starts)
 
 
 def sampler(path: str, sharpness: float) -> Sampler:
@@ -258,6 +284,17 @@ def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+def _same(pieces: Pieces, ids: np.ndarray, bounds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text's ids decode to its bytes."""
+    back, ends = pieces.decode(ids)
+    after = np.concatenate([[0], ends])[bounds]
+    same = (np.diff(after) == np.diff(offsets)) & (after[:-1] == offsets[:-1])
+    if len(back) == len(data):
+        wrong = np.concatenate([[0], np.cumsum(back != data)])
+        same &= wrong[offsets[1:]] == wrong[offsets[:-1]]
+    return same
+
+
 def encode_sampled(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", sharpness: float = SHARPNESS, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of `keep`, piece_ids, n_pieces, and lossless: the ids decode to the very text."""
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
@@ -265,18 +302,24 @@ def encode_sampled(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(model, sharpness)
         for batch in parts:
-            for part, data, offsets in batches(batch, "_t", 1 << 20):
-                seeds = part.column(1).to_numpy().view(np.uint64)
-                ids, bounds = s.sample(data, offsets, seeds)
-                back, ends = s.pieces.decode(ids)
-                after = np.concatenate([[0], ends])[bounds]
-                n = np.diff(bounds)
-                same = (np.diff(after) == np.diff(offsets)) & (after[:-1] == offsets[:-1])
-                if len(back) == len(data):
-                    wrong = np.concatenate([[0], np.cumsum(back != data)])
-                    same &= wrong[offsets[1:]] == wrong[offsets[:-1]]
-                cols = [part.column(2 + k) for k in range(1 + len(keep))]
-                yield pa.RecordBatch.from_arrays([*cols, _list(ids, bounds), pa.array(n.astype(np.int64)), pa.array(same)], [id_col, *keep, "piece_ids", "n_pieces", "lossless"])
+            data, offsets = as_bytes(batch.column(0))
+            done: list[tuple[np.ndarray, bool]] = []
+            skipped = 0
+            for i, j, lo, hi in s.parts(data, offsets):
+                own = offsets[i : j + 1] - lo if hi - lo == offsets[j] - offsets[i] else np.array([0, hi - lo])
+                ids, bounds, n_segments = s.sample(data[lo:hi], own, batch.column(1).slice(i, j - i).to_numpy().view(np.uint64), skipped)
+                same = _same(s.pieces, ids, bounds, data[lo:hi], own)
+                if hi < offsets[j] or done:
+                    done.append((ids, bool(same[0])))
+                    skipped += n_segments
+                    if hi < offsets[j]:
+                        continue
+                    ids, same = np.concatenate([x for x, _ in done]), np.array([all(x for _, x in done)])
+                    bounds = np.array([0, len(ids)])
+                    done, skipped = [], 0
+                cols = [batch.column(2 + k).slice(i, j - i) for k in range(1 + len(keep))]
+                yield pa.RecordBatch.from_arrays([*cols, _list(ids, bounds), pa.array(np.diff(bounds).astype(np.int64)), pa.array(same)], [id_col, *keep, "piece_ids", "n_pieces", "lossless"])
+            trim()
 
     seed = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(41))
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_t"), seed.alias("_seed"), F.col(id_col).alias("_id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])

@@ -36,8 +36,8 @@ def _clean() -> None:
     for spark, path in _made:
         try:
             remove(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit
-            return
+        except Exception:  # noqa: BLE001 - the session may be gone at exit, or a folder; the others go still
+            continue
 
 
 atexit.register(_clean)

@@ -144,6 +144,16 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased (A-Z) words, and the texts' bounds among them; a long text is read in pieces."""
+    counts, out = np.zeros(len(offsets) - 1, np.int64), []
+    for i, j, lo, hi in pieces(data, offsets):
+        words = Words(LOWER[data[lo:hi]], offsets[i : j + 1] - lo if hi - lo == offsets[j] - offsets[i] else np.array([0, hi - lo]))
+        counts[i:j] += words.counts
+        out.append(words.hashes())
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
+
+
 #: Bytes of spans that are hashed at once.
 SPAN_BYTES = 1 << 22
 
@@ -158,23 +168,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         before = int(total[i] - lengths[i])
         j = max(i + 1, int(np.searchsorted(total, before + SPAN_BYTES, "right")))
         if lengths[i] > SPAN_BYTES:
-            out[i] = sum((_span_sums(data, starts[i : i + 1] + k, np.minimum(lengths[i : i + 1] - k, SPAN_BYTES), k)[0] for k in range(0, int(lengths[i]), SPAN_BYTES)), np.uint64(0))
+            out[i] = np.concatenate([_span_sums(data, starts[i : i + 1] + k, np.minimum(lengths[i : i + 1] - k, SPAN_BYTES)) * np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(0, int(lengths[i]), SPAN_BYTES)]).sum()
             j = i + 1
         else:
-            out[i:j] = _span_sums(data, starts[i:j], lengths[i:j], 0)
+            out[i:j] = _span_sums(data, starts[i:j], lengths[i:j])
         i = j
     return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _span_sums(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, skipped: int) -> np.ndarray:
-    """Sums of byte values times powers of the base, for spans of which `skipped` bytes lie before their starts."""
+def _span_sums(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of byte values times powers of the base."""
     out = np.zeros(len(starts), np.uint64)
     full = np.flatnonzero(lengths)
     if len(full):
         n = lengths[full]
         first = np.cumsum(n) - n
         local = np.arange(int(n.sum())) - np.repeat(first, n)
-        values = _RANDOM[data[np.repeat(starts[full], n) + local]] * powers(skipped + int(n.max()))[local + skipped]
+        values = _RANDOM[data[np.repeat(starts[full], n) + local]] * powers(int(n.max()))[local]
         out[full] = np.add.reduceat(values, first)
     return out
 
@@ -211,8 +221,11 @@ def chained(hashes: np.ndarray, n: int) -> np.ndarray:
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
     out = hashes[: len(hashes) - n + 1].copy()
-    for k in range(1, n):
-        out = mix(out * _BASE + hashes[k : len(hashes) - n + 1 + k])
+    for i in range(0, len(out), 1 << 20):
+        part = out[i : i + (1 << 20)]
+        for k in range(1, n):
+            part = mix(part * _BASE + hashes[i + k : i + k + len(part)])
+        out[i : i + len(part)] = part
     return out
 
 

@@ -159,15 +159,18 @@ class Group:
             p = (np.arange(0, hi - lo, CYCLE)[:, None] + np.array(COVER)).ravel()
             at.append(p[: np.searchsorted(p, hi - lo - width, "right")] + lo)
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        return at, self.hashed(at, width, FIRST)[0] >> np.uint64(64 - name_bits)
+        names = self.hashed(at, width, FIRST)[0]
+        names >>= np.uint64(64 - name_bits)
+        return at, names
 
     def candidates(self, at: np.ndarray, inverse: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
         """Places whose string holds a sampled name (inverse: its number, at each of the places `at`) that is `elsewhere` or in two texts here."""
-        text = self.text_of(at)
+        text = self.text_of(at).astype(np.int32)
         low, high = np.full(len(elsewhere), len(self.least), np.int32), np.full(len(elsewhere), -1, np.int32)
-        np.minimum.at(low, inverse, text.astype(np.int32))
-        np.maximum.at(high, inverse, text.astype(np.int32))
+        np.minimum.at(low, inverse, text)
+        np.maximum.at(high, inverse, text)
         hit = (elsewhere | (low != high))[inverse]
+        del low, high
         # A tuple at p lies in the strings that start at p - CYCLE + 1 to p.
         p, text = at[hit], text[hit]
         reach = np.zeros(len(self.data) + 1, np.int16)

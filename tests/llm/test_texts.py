@@ -138,7 +138,7 @@ def test_pieces_are_lossless_and_repeatable(odd, none):
 def test_draws_follow_the_lattice():
     p = piece_sampling.Pieces(MODEL, 1.0)
     word, n = b" other", 40000
-    ids, bounds = piece_sampling.Sampler(p).sample(np.frombuffer(word * n, np.uint8), np.arange(n + 1) * len(word), np.arange(n).astype(np.uint64) * np.uint64(104729))
+    ids, bounds, _ = piece_sampling.Sampler(p).sample(np.frombuffer(word * n, np.uint8), np.arange(n + 1) * len(word), np.arange(n).astype(np.uint64) * np.uint64(104729))
     raw = {i: p.data[p.starts[i] : p.starts[i] + p.lengths[i]].tobytes() for i in np.flatnonzero(p.weights)}
 
     def paths(at):
@@ -154,9 +154,46 @@ def test_draws_follow_the_lattice():
         assert abs(seen[k] / n - share) < 5 * (share / n) ** 0.5 + 1e-3
 
 
+def test_long_texts_in_parts_give_the_same_pieces(spark, monkeypatch):
+    texts = [PROSE * 3, "", "x" * 500 + "  " + DEUTSCH * 2, "a  b   c    " * 60, "€" * 300]
+    s = piece_sampling.Sampler(piece_sampling.Pieces(MODEL, 1.0))
+    seeds = np.arange(len(texts)).astype(np.uint64) * np.uint64(99)
+    data, offsets = spans.as_bytes(pa.array(texts))
+    whole, bounds, _ = s.sample(data, offsets, seeds)
+    monkeypatch.setattr(piece_sampling, "PART_BYTES", 100)
+    parts, skipped, last = [[] for _ in texts], 0, -1
+    for i, j, lo, hi in s.parts(data, offsets):
+        skipped = skipped if i == last and j == i + 1 else 0
+        ids, own, n = s.sample(data[lo:hi], offsets[i : j + 1] - lo if hi - lo == offsets[j] - offsets[i] else np.array([0, hi - lo]), seeds[i:j], skipped)
+        skipped, last = skipped + n, i
+        for k in range(i, j):
+            parts[k] += ids[own[k - i] : own[k - i + 1]].tolist()
+    assert parts == [whole[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.lossless for r in piece_sampling.encode_sampled(df, MODEL).collect())
+
+
 # Quality
 
 
+def test_long_texts_in_pieces_give_the_same_counts(monkeypatch):
+    texts = [t or "" for _, t, *_ in ODD] + ["a b c d e " * 40 + "\n" + "a b c d e\n" * 9, "", "z" * 700 + " y"]
+    data, offsets = spans.as_bytes(pa.array(texts))
+    whole, hashes, bounds = quality.base_counts(data, offsets)
+    m = quality.Model(np.random.default_rng(2).normal(size=(3, 1 << 10)), 0.1, 1.0, 0.0, 10)
+    margin = m.margin(quality.features(data, offsets, hashes, bounds, 10), quality.n_features(offsets, bounds))
+    monkeypatch.setattr(quality, "pieces", lambda d, o: spans.pieces(d, o, 64))
+    monkeypatch.setattr(quality, "RUN", 77)
+    monkeypatch.setattr(spans, "SPAN_BYTES", 50)
+    parts, h, b = quality.base_counts(data, offsets)
+    assert all((whole[c] == parts[c]).all() for c in whole) and (h == hashes).all() and (b == bounds).all()
+    assert np.allclose(margin, m.margin(quality.features(data, offsets, h, b, 10), quality.n_features(offsets, b)))
+    x, y = spans.word_hashes(data, offsets)
+    monkeypatch.setattr(spans, "pieces", lambda d, o, f=spans.pieces: f(d, o, 64))
+    u, v = spans.word_hashes(data, offsets)
+    assert (x == u).all() and (y == v).all()
+
+
 def _base(text):
     words = WORD.findall(text or "")
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
