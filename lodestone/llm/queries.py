@@ -77,23 +77,46 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(_read(spark, sf_dir, "documents"))
 
 
-def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+def base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import quality
+
+    return quality.base_rules(_read(spark, sf_dir, "documents"))
 
 
-#: Removed bytes by 50-byte strings in hexadecimal, one row a byte.
-_REPEATS = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d),
-s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN length(h) // 2 - i >= 50 THEN substr(h, 2 * i + 1, 100) END AS k FROM p),
-f AS (SELECT k, min(doc_id) AS first FROM s WHERE k IS NOT NULL GROUP BY k),
-m AS (SELECT s.doc_id, s.i, s.b, coalesce(f.first < s.doc_id, false) AS mark FROM s LEFT JOIN f ON f.k = s.k),
+def queries() -> dict:
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"base_rules": base_rules}
+
+
+_LEADS = " + ".join(f"lead(v, {k}, 0) OVER o * {256 ** (7 - k)}::UBIGINT" for k in range(1, 8))
+_WORDS = (8, 16, 24, 32, 40, 42)
+_KEYS = ", ".join(f"w{k}" for k in (0, *_WORDS))
+
+#: Removed bytes by 50-byte strings, each as seven numbers of eight bytes (the last two overlap): one row a byte, and no hashes.
+_REPEATS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),
+p AS (SELECT doc_id, len(l) AS n, unnest(l) AS b, unnest(range(len(l))) AS i FROM d),
+v AS (SELECT *, (16 * (instr('0123456789ABCDEF', b[1]) - 1) + instr('0123456789ABCDEF', b[2]) - 1)::UBIGINT AS v FROM p),
+w AS (SELECT doc_id, n, i, b, v * {256 ** 7}::UBIGINT + {_LEADS} AS w0 FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT *, {", ".join(f"lead(w0, {k}) OVER (PARTITION BY doc_id ORDER BY i) AS w{k}" for k in _WORDS)} FROM w),
+f AS (SELECT {_KEYS}, min(doc_id) AS first FROM s WHERE i + 50 <= n GROUP BY ALL HAVING count(*) > 1),
+m AS (SELECT s.doc_id, s.i, s.b, s.i + 50 <= s.n AND coalesce(f.first < s.doc_id, false) AS mark FROM s LEFT JOIN f USING ({_KEYS})),
 c AS (SELECT doc_id, i, b, max(mark::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM m),
 g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS start FROM c),
 r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE start) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
-SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
+SELECT d.doc_id, len(d.l)::BIGINT AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""
 
+#: The base rules of op3 without its classifier.
+_RULES = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) >= 5),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w) AS base_failed FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id"""
+
 #: All pairs that share a shingle, and the least document that links reach.
 _NEAR = """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -121,4 +144,4 @@ SELECT doc_id, size, source_size, target, greatest(0, least(size, quota - off))
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express an operator; the others are tested against brute force, round trips or held-out rows."""
-    return {"op4_suffix_dedup": _REPEATS, "op6_minhash_forest": _NEAR, "op7_mix_sources": _MIX}
+    return {"base_rules": _RULES, "op4_suffix_dedup": _REPEATS, "op6_minhash_forest": _NEAR, "op7_mix_sources": _MIX}

@@ -31,6 +31,8 @@ an empty table gives no shard and no rows; other columns are not read.
 from __future__ import annotations
 
 import bisect
+import functools
+import hashlib
 import json
 import os
 import struct
@@ -98,8 +100,14 @@ def unpack_ids(value: bytes) -> np.ndarray:
     return np.frombuffer(value, f"<u{value[0]}", offset=1).astype(np.uint32)
 
 
+def _bloom_pair(key: bytes) -> tuple[int, int]:
+    """Two independent hashes of 32 bits, the second odd."""
+    a, b = struct.unpack("<II", hashlib.blake2b(key, digest_size=8).digest())
+    return a, b | 1
+
+
 def _bloom_places(key: bytes, bits: int, hashes: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+    a, b = _bloom_pair(key)
     return [(a + i * b) % bits for i in range(hashes)]
 
 
@@ -123,7 +131,7 @@ class Writer:
         value = pack_ids(ids)
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.last = key
-        self.keys.append((zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1))
+        self.keys.append(_bloom_pair(key))
         self.n_ids += len(ids)
         if len(self.block) >= self.block_bytes:
             self._flush()
@@ -309,7 +317,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the shards and returns the manifest: shard, path, n_docs, n_ids, in key order of the shards."""
+    """Writes the shards and returns the manifest: shard, path, n_docs, n_ids, first_key, last_key, in key order of the shards."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t"))
     size = rows.agg(F.sum(F.octet_length("_t") + 16)).first()[0] or 0
@@ -318,7 +326,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        writer = out = None
+        writer = out = first = last = None
         store, base = fs.FileSystem.from_uri(folder)
         n = 0
         for batch in parts:
@@ -329,15 +337,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
                     writer = Writer(out)
                 ids, bounds = encoder(tokenizer).encode(data, offsets)
                 for k, ident in enumerate(part.column(0).to_pylist()):
-                    writer.add(key_of(ident), np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)))
+                    last = key_of(ident)
+                    first = last if first is None else first
+                    writer.add(last, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)))
                     n += 1
         if writer is not None:
             writer.close()
             out.close()
             store.move(f"{base}/part-{shard:06d}-{attempt}.tmp", f"{base}/part-{shard:06d}.sst")
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, f"{folder}/part-{shard:06d}.sst", n, writer.n_ids)], ["shard", "path", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, f"{folder}/part-{shard:06d}.sst", n, writer.n_ids, first, last)], ["shard", "path", "n_docs", "n_ids", "first_key", "last_key"])
 
-    return table(rows.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "sst-manifest")
+    return table(rows.mapInArrow(write, "shard long, path string, n_docs long, n_ids long, first_key binary, last_key binary"), "sst-manifest")
 
 
 def open_shard(path: str, text_keys: bool) -> Reader:
@@ -397,12 +407,16 @@ def digests(manifest: DataFrame, id_col: str = "doc_id", kind: str = "bigint") -
 
 
 def lookup(manifest: DataFrame, idents: Iterable[int | str | None], text_keys: bool = False) -> dict[int | str | None, list[np.ndarray]]:
-    """The ids of a few documents, through Bloom filters and block indexes, on the driver."""
+    """The ids of a few documents, through the manifest's key ranges, Bloom filters and block indexes, on the driver; other shards are not opened."""
     out: dict = {i: [] for i in idents}
-    for r in manifest.orderBy("shard").toLocalIterator():
+    keys = {i: key_of(i) for i in out}
+    within = [(F.col("first_key") <= F.lit(k)) & (F.col("last_key") >= F.lit(k)) for k in keys.values()]
+    held = manifest.filter(functools.reduce(lambda x, y: x | y, within)) if within else manifest.limit(0)
+    for r in held.orderBy("shard").toLocalIterator():
         shard = open_shard(r.path, text_keys)
-        for i in out:
-            out[i] += shard.get(i)
+        for i, k in keys.items():
+            if bytes(r.first_key) <= k <= bytes(r.last_key):
+                out[i] += shard.get(i)
     return out
 
 
