@@ -3,7 +3,9 @@
 Each stage is (spark, docs, sf_dir) -> DataFrame over all rows that the stage
 before kept; its result is written as Parquet and read again.  All but the last
 return the columns of documents.  Rows are told apart by their place in the
-table that is read, so null and repeated ids are rows like any other.
+table that is read, so null and repeated ids are rows like any other.  Every
+stage takes a table without rows, and returns one; columns beside those of
+documents are kept as they are.
 """
 
 from __future__ import annotations
@@ -43,7 +45,11 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """Keeps the document with the least id of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    A null id comes after all others; of rows that repeat an id, the first read
+    is kept.  Null texts and texts without a word are copies of nothing, and stay.
+    """
     small_batches(spark)
     rows = docs.withColumn("__lodestone_uid", F.monotonically_increasing_id())
     with scratch(spark) as keep:
@@ -56,14 +62,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the strings of 50 bytes and more that an earlier document holds; n_chars follows the text."""
+    """Cuts the strings of 50 bytes and more that an earlier document holds; n_chars follows the text.
+
+    All rows stay: a null text as it is, a text that goes as a whole as an empty one.
+    Null ids come last; rows that repeat an id are not earlier than each other.
+    """
     small_batches(spark)
     out = remove_repeats(docs, id_col="doc_id", text_col="text", group_bytes=GROUP_BYTES)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number; not at all where that is none."""
+    """Each document as often as the mix takes it, to the nearest whole number; not at all where that is none.
+
+    Rounding moves a source's words by less than half of the one or two documents
+    at its quota's end.  Texts that are null or hold no word are not taken; a
+    null source is a source of its own.
+    """
     rows = docs.withColumn("__lodestone_uid", F.monotonically_increasing_id())
     with scratch(spark) as keep:
         taken = taken_words(mix_sources(rows, uid_col="__lodestone_uid"))
@@ -75,7 +90,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, piece_ids, n_pieces, lossless of every row."""
+    """doc_id, lang, source, piece_ids, n_pieces, lossless of every row; a null text is empty, repeated rows get the same pieces."""
     import public_tokenizers
 
     small_batches(spark)
