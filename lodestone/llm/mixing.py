@@ -95,6 +95,7 @@ def mix_sources(
     """The mix of `docs`. Weights repeat over the sources in code point order.
 
     One row a source is held on the driver; more than max_sources raise ValueError.
+    Blocks grow beyond block_words where the mix has more of them than half the lattice's points.
     uid_col names a column of distinct longs, where the caller has one.
     """
     spark = docs.sparkSession
@@ -121,6 +122,9 @@ def mix_sources(
     placed = _running(rows, ["src"], "bucket", ["h", "size", "uid"], F.col("size"), "off")
 
     # The slots: interval lengths leave room for the lattice's discrepancy; slots past a source's last block stay empty.
+    while sum(quota) // block_words > LATTICE // 2:
+        # More blocks than the lattice has points for: larger ones. What is taken of a document does not depend on it.
+        block_words *= 2
     blocks = [-(-q // block_words) for q in quota]
     lean = 4 + math.ceil(math.log(sum(blocks) + 2))
     room = np.array([b + lean * (b > 0) for b in blocks], float)
