@@ -1,4 +1,4 @@
-"""Connected components by least labels and pointer jumping over written tables."""
+"""Connected components by contraction over written tables."""
 
 from __future__ import annotations
 
@@ -11,22 +11,34 @@ from lodestone.llm.shared import drop, table
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, comp (least node of its component) for every node of a link.
 
-    Each round takes the least label among neighbours and then the label's own
-    label, so that paths halve; it ends when no label changes.  Nothing but a
-    count reaches the driver, and each round's labels are a written table.
+    Each round every node takes the least node among itself and its neighbours,
+    and that node's own; links then go between what their ends took, once each,
+    and not at all where both took the same.  It ends when no link is left, after
+    rounds whose links are ever fewer: each node but the least of its neighbours
+    disappears.  Nothing but a count reaches the driver, and each round's links
+    and labels are written tables.
     """
-    edges = table(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).filter("u <> v").distinct(), "cc-edges")
-    labels = table(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "cc-labels")
-    while True:
-        near = edges.join(labels.select(F.col("u").alias("v"), F.col("l").alias("nl")), "v").groupBy("u").agg(F.min("nl").alias("nl"))
-        hooked = labels.join(near, "u", "left").select("u", F.col("l").alias("old"), F.least("l", "nl").alias("l"))
-        upper = labels.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        new = table(hooked.join(upper, "l", "left").select("u", "old", F.coalesce(F.least("l", "ll"), "l").alias("l")), "cc-labels")
-        changed = new.filter("old <> l").limit(1).count()
-        drop(labels)
-        path = new._lodestone_path
-        labels = new.select("u", "l")
-        labels._lodestone_path = path
-        if not changed:
-            drop(edges)
-            return labels.select(F.col("u").alias("node"), F.col("l").alias("comp"))
+    edges = table(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct(), "cc-edges")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        near = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).groupBy("u").agg(F.min("v").alias("m"))
+        near = table(near.select("u", F.least("u", "m").alias("l")), "cc-near")
+        upper = near.select(F.col("u").alias("l"), F.col("l").alias("ll"))
+        taken = table(near.join(upper, "l").select("u", F.col("ll").alias("l")), "cc-taken")
+        drop(near)
+        x, y = taken.select("u", F.col("l").alias("p")), taken.select(F.col("u").alias("v"), F.col("l").alias("q"))
+        moved = edges.join(x, "u").join(y, "v").filter("p <> q")
+        left = table(moved.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct(), "cc-edges")
+        if labels is None:
+            labels = taken
+        else:
+            # Nodes that are in no link any more keep what they took.
+            on = taken.select(F.col("u").alias("l"), F.col("l").alias("to"))
+            new = table(labels.join(on, "l", "left").select("u", F.coalesce("to", "l").alias("l")), "cc-labels")
+            drop(labels)
+            drop(taken)
+            labels = new
+        drop(edges)
+        edges = left
+    drop(edges)
+    return labels.select(F.col("u").alias("node"), F.col("l").alias("comp"))
