@@ -58,7 +58,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         best = F.min(F.struct("__lodestone_none", "__lodestone_id", "__lodestone_uid"))["__lodestone_uid"]
         first = table(found.join(ids, "__lodestone_uid").groupBy("component_id").agg(best.alias("__lodestone_uid")).select("__lodestone_uid"), "pipeline-first")
         keep(first)
-    return rows.join(first, "__lodestone_uid", "left_semi").select(*docs.columns)
+    # Kept rows are no bounded number: sorted and merged at every size, instead of broadcast as long as they are few.
+    return rows.join(first.hint("merge"), "__lodestone_uid", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
