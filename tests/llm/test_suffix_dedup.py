@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import suffix_dedup
@@ -37,3 +38,25 @@ def test_equal_numbers_in_a_group_are_compared_by_bytes():
     texts = [b"a" * 50, b"b" * 50, b"a" * 50, b"c" * 50]
     g.data, g.offsets, g.least = np.frombuffer(b"".join(texts), np.uint8), np.arange(5) * 50, np.array([4, 2, 9, 9])
     assert g.repeated(np.arange(4) * 50, np.zeros(4, np.int64), 1).tolist() == [False, False, True, False]
+
+
+def test_rows_may_come_in_another_order_in_each_step(spark):
+    # As a cluster's shuffles bring them: without reuse, each step reads the rows anew.
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abcdefghij ", k=draw.randrange(60, 200))) for _ in range(200)]
+    for i in range(20, 200, 3):
+        texts[i] += texts[i - 20][:55]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.take(pa.array(np.random.default_rng().permutation(len(b))))
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.doc_id: r.n_removed for r in suffix_dedup.repeat_digests(rows.mapInArrow(shuffled, rows.schema)).collect()}
+        kept = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(rows.mapInArrow(shuffled, rows.schema)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == {i: 55 if i in range(20, 200, 3) else 0 for i in range(200)}
+    assert kept == {i: t[:-55] if i in range(20, 200, 3) else t for i, t in enumerate(texts)}
