@@ -182,6 +182,12 @@ def test_forest_invariants_and_search(spark):
     assert [d for _, d in near] == pytest.approx([d for _, d in brute]) and {i for i, _ in near} == {i for i, _ in brute}
 
 
+def test_forest_search_ties_go_by_id(spark):
+    df = spark.createDataFrame([(i, 1.0 + i % 2, 1.0) for i in range(100, 160)], "id long, lng double, lat double")
+    near = [r.id for r in points.forest_search(points.kdtree_forest(df, 2), 1.0, 1.0, 7).collect()]
+    assert near == [str(i) for i in range(100, 114, 2)]
+
+
 def test_quadkey_knn(spark):
     df = spark.createDataFrame([(1, 0.00001, 0.00001), (2, 0.00002, 0.00001), (3, 0.00003, 0.00001), (4, 50.0, 50.0)], "id long, lng double, lat double")
     found = geo.quadkey_knn(df, 1, min_zoom=18).cache()
