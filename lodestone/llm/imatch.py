@@ -129,22 +129,22 @@ def fingerprints(texts: DataFrame, names: list[str], band: DataFrame, digest: st
     rows = texts.select(*KEY, F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("t")) for i, c in enumerate(wanted)])).alias("w"))
     listed = F.col("w.which") < len(names)
     rows = rows.select(*KEY, "w.which", F.col("w.t").alias("t"), F.when(listed, terms(F.col("w.t"))).alias("terms"), listed.alias("listed"))
-    # What a text has without the lexicon: hashes of all its terms, or of itself; of the digest's column, that digest.
-    alone = F.when(F.col("listed"), F.when(F.size("terms") > 0, least_hashes(F.col("terms"))).otherwise(_bare(F.xxhash64("t"))))
-    rows = rows.select(*KEY, "which", "terms", alone.alias("alone"), F.when(~F.col("listed"), F.sha2(F.col("t").cast("binary"), 256)).alias("sha"))
+    rows = rows.select(*KEY, "which", "terms", F.when(F.col("listed"), F.xxhash64("t")).alias("whole"), F.when(~F.col("listed"), F.sha2(F.col("t").cast("binary"), 256)).alias("sha"))
     none = F.array(F.lit(NO_TERM).cast("long"))
-    rows = rows.select(*KEY, "which", "alone", "sha", F.explode(F.concat(none, F.coalesce("terms", F.array().cast("array<bigint>")))).alias("term"))
+    rows = rows.select("*", F.explode(F.concat(none, F.coalesce("terms", F.array().cast("array<bigint>")))).alias("term"))
+    # One row of a text carries what it needs without the lexicon: all its terms, its hash, or the digest.
     lone = F.col("term") == NO_TERM
-    rows = rows.select(*KEY, "which", "term", F.when(lone, F.col("alone")).alias("alone"), F.when(lone, F.col("sha")).alias("sha")).join(band, "term")
+    rows = rows.select(*KEY, "which", "term", *[F.when(lone, F.col(c)).alias(c) for c in ("terms", "whole", "sha")]).join(band, "term")
     aggs = [F.max("sha").alias(f"{digest}_sha256")] if digest else []
     for i in range(len(names)):
         own = F.col("which") == i
-        aggs += [F.collect_set(F.when(own & (F.col("term") != NO_TERM), F.col("term"))).alias(f"in{i}"), F.max(F.when(own, F.col("alone"))).alias(f"alone{i}")]
+        aggs += [F.collect_set(F.when(own & (F.col("term") != NO_TERM), F.col("term"))).alias(f"in{i}"), F.max(F.when(own, F.col("terms"))).alias(f"terms{i}"), F.max(F.when(own, F.col("whole"))).alias(f"whole{i}")]
     out = rows.groupBy(*KEY).agg(*aggs)
     for i, c in enumerate(names):
         out = out.withColumn(f"{c}_sig", subset_hashes(F.sort_array(f"in{i}")))
-        # Where the subsets hold none of a text's terms, they say nothing of it either.
-        out = out.withColumn(f"{c}_sig", F.when(F.exists(f"{c}_sig", lambda x: x.isNotNull()), F.col(f"{c}_sig")).otherwise(F.col(f"alone{i}")))
+        # Where the subsets hold none of a text's terms, they say nothing of it either; only then is each term hashed for each subset.
+        alone = F.when(F.size(f"terms{i}") > 0, least_hashes(F.col(f"terms{i}"))).otherwise(_bare(F.col(f"whole{i}")))
+        out = out.withColumn(f"{c}_sig", F.when(F.exists(f"{c}_sig", lambda x: x.isNotNull()), F.col(f"{c}_sig")).otherwise(alone))
     return out.select(*KEY, *[f"{c}_sig" for c in names], *([f"{digest}_sha256"] if digest else []))
 
 

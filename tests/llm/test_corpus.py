@@ -340,6 +340,14 @@ def test_lexicon_is_the_band(spark):
     assert got == {r[0] for r in spark.sql("SELECT xxhash64('half')").collect()}
 
 
+def test_imatch_hashes_all_terms_only_where_the_lexicon_has_none(spark):
+    # Below the aggregate each text would pay for it; above, only those whose subsets are empty.
+    keyed = imatch.keyed(spark.createDataFrame([(1, "one two"), (2, "two three")], "doc_id long, text string"), "doc_id", "text")
+    plan = imatch.fingerprints(keyed, ["text"], imatch.lexicon(keyed))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Aggregate", 1)
+    assert "array_min" in above and "array_min" not in below
+
+
 def test_no_python_in_the_fingerprint_plan(spark):
     plan = imatch.fingerprint_with_edits(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
