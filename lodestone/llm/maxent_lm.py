@@ -12,13 +12,12 @@ classes of the two words before.  P(token | leaf) is 1 for a token's own leaf,
 else (c + 1) / (N + V + 1) over the leaf's tokens, so that every unknown token of
 a leaf has the same last share.
 
-Training: token counts over all training texts, and then synchronous gradient
-rounds, the first over all of them and each further one over one in `SHARE`,
-chosen by a hash of the text.  A round moves each weight by the logarithm of what its feature was seen
-with against what the model expected of it (a gradient step scaled by the
-expectation, smoothed by `KAPPA`, shared among the features of a context).  In
-the first round all weights are zero, so that expectations follow from counts;
-in the others they are sums of probabilities over the round's tokens.  Sums are
+Training: token counts and then synchronous gradient rounds, each over all
+training texts.  A round moves each weight by the logarithm of what its feature
+was seen with against what the model expected of it (a gradient step scaled by
+the expectation, smoothed by `KAPPA`, shared among the features of a context).
+In the first round all weights are zero, so that expectations follow from
+counts; in the others they are sums of probabilities over all tokens.  Sums are
 of integers (probabilities in units of 2 ** -`FINE`), so that the model does not
 depend on how rows are dealt to partitions.  The weights have a fixed size.
 
@@ -51,16 +50,14 @@ FAMILIES = 4
 #: Rows of a family of features: for the classes, and for the leaves of each class.
 CLASS_ROWS, LEAF_ROWS = 1 << 13, 1 << 9
 KAPPA, ROUNDS, FINE = 4.0, 2, 12
-#: A round after the first goes over one training text in so many.
-SHARE = 16
 END = np.uint64(0x243F6A8885A308D3)
 START = np.uint64(0x13198A2E03707344)
 BATCH = 1024
 #: Least of what a softmax shares out, so that a logarithm stays finite.
 LEAST = np.float32(1e-37)
 CHUNK_BYTES = 8 << 20
-#: Bytes of training text of one task, that sends one array of sums, by the kind of sum; bytes of input for each range of token hashes.
-TASK_BYTES = {"seen": 64 << 20, "expected": 8 << 20}
+#: Bytes of training text of one task, that sends one array of sums; bytes of input for each range of token hashes.
+TASK_BYTES = 64 << 20
 RANGE_BYTES = 32 << 20
 #: Cells of the sums that are sent and added together.
 BLOCK = 1 << 17
@@ -253,9 +250,9 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, chunk_bytes: int) -> DataFrame:
-    """chunk, _id, held, learn, turn (of the rounds after the first), packed (the compressed text), size of every row, written; a chunk's rows are neighbours in one partition."""
+    """chunk, _id, held, learn, packed (the compressed text), size of every row, written; a chunk's rows are neighbours in one partition."""
     rest = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.coalesce(rest == held, F.lit(False)).alias("held"), F.coalesce(rest != held, F.lit(False)).alias("learn"), F.pmod(F.xxhash64(text_col), F.lit(SHARE)).alias("turn"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.coalesce(rest == held, F.lit(False)).alias("held"), F.coalesce(rest != held, F.lit(False)).alias("learn"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +270,9 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int,
                 packed.append(zip_.compress(raw))
                 sizes.append(len(raw))
                 own.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column(0), *batch.columns[2:], pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], ["chunk", "_id", "held", "learn", "turn", "packed", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column(0), *batch.columns[2:], pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], ["chunk", "_id", "held", "learn", "packed", "size"])
 
-    return table(rows.mapInArrow(run, f"chunk long, _id {kind}, held boolean, learn boolean, turn long, packed binary, size long"), "lm-chunks")
+    return table(rows.mapInArrow(run, f"chunk long, _id {kind}, held boolean, learn boolean, packed binary, size long"), "lm-chunks")
 
 
 def _texts(packed: pa.Array | pa.ChunkedArray, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -414,7 +411,7 @@ def start(counts: DataFrame) -> Model:
 
 def _sums(chunks: DataFrame, model: Model, step: str) -> dict[int, bytes]:
     """Packed sums over all tokens of the chunks' rows, by the first cell of their block."""
-    n_tasks = max(1, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES[step]))
+    n_tasks = max(1, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
     held = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,12 +447,11 @@ def _sums(chunks: DataFrame, model: Model, step: str) -> dict[int, bytes]:
 
 def fit(chunks: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     """The model after its rounds."""
-    model = start(counts)
+    model, own = start(counts), chunks.filter("learn")
+    # What features were seen with does not depend on the weights: it is summed once.
+    seen = _sums(own, model, "seen") if rounds else {}
     for k in range(rounds):
-        own = chunks.filter("learn")
-        if k:
-            own = own.filter(F.col("turn") == k % SHARE)
-        seen, expected = _sums(own, model, "seen"), _sums(own, model, "expected") if k else {}
+        expected = _sums(own, model, "expected") if k else {}
         for block, packed in seen.items():
             # A round's tokens have the same features in both; cells of class rows and of leaf rows never share a block.
             model.update(block, unpack(packed).astype(np.int64), unpack(expected[block]).astype(np.int64) if k else None)

@@ -207,6 +207,15 @@ def test_scores_beat_the_base_on_held_out_texts(spark):
     assert (got.score == again.score).all() and (got.base_score == again.base_score).all()
 
 
+def test_every_round_goes_over_all_training_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(100)], "doc_id long, text string")
+    sums, seen = maxent_lm._sums, []
+    monkeypatch.setattr(maxent_lm, "_sums", lambda chunks, model, step: seen.append((step, chunks.count())) or sums(chunks, model, step))
+    n = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2").count()
+    maxent_lm.score_texts(docs, rounds=3)
+    assert [k for _, k in seen] == [n] * len(seen) and [x for x, _ in seen].count("expected") == 2
+
+
 def test_context_tells_words_of_one_class_apart(spark):
     texts = ["the big cat sat", "a small rat ran"] * 200 + ["the big rat sat"] * 2
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
