@@ -56,8 +56,8 @@ BATCH = 1024
 #: Least of what a softmax shares out, so that a logarithm stays finite.
 LEAST = np.float32(1e-37)
 CHUNK_BYTES = 8 << 20
-#: Bytes of training text of one task, that sends one array of sums; bytes of input for each range of token hashes.
-TASK_BYTES = 64 << 20
+#: Bytes of training text of one task, that sends one array of sums, by the kind of sum; bytes of input for each range of token hashes.
+TASK_BYTES = {"seen": 64 << 20, "expected": 16 << 20}
 RANGE_BYTES = 32 << 20
 #: Cells of the sums that are sent and added together.
 BLOCK = 1 << 17
@@ -411,7 +411,7 @@ def start(counts: DataFrame) -> Model:
 
 def _sums(chunks: DataFrame, model: Model, step: str) -> dict[int, bytes]:
     """Packed sums over all tokens of the chunks' rows, by the first cell of their block."""
-    n_tasks = max(1, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
+    n_tasks = max(1, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES[step]))
     held = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
