@@ -26,6 +26,8 @@ An empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,14 +84,25 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return counts.filter((F.col("count") >= max(2, low * n)) & (F.col("count") <= max(2, high * n))).select("term")
 
 
-def subset_hashes(kept: Column) -> Column:
-    """For sorted terms: the hash of those in each subset, null where the subset holds none."""
+def _in_subset(rate: int, seed: int, term: Column) -> Column:
+    """Whether a term is in the subset of this rate and seed. A seed's subsets are nested, as each rate divides the next."""
+    return F.shiftright(F.xxhash64(term, F.lit(seed)), 40).bitwiseAND(F.lit(rate - 1)) == 0
 
-    def one(rate: int, seed: int) -> Column:
-        own = F.filter(kept, lambda t: F.shiftright(F.xxhash64(t, F.lit(seed)), 40).bitwiseAND(F.lit(rate - 1)) == 0)
-        return F.when(F.size(own) > 0, F.xxhash64(own, F.lit(rate)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    return F.array(*[one(r, s) for r in RATES for s in SEEDS])
+def with_subset_hashes(rows: DataFrame, kept: str, to: str) -> DataFrame:
+    """rows with column `to` in place of `kept` (terms): the hash of those in each subset, in order, null where the subset holds none.
+
+    Each rate's terms are sought among those of the rate before, and are a column, so that no filter runs twice.
+    """
+    rest = [c for c in rows.columns if c != kept]
+    rows = rows.withColumn(kept, F.sort_array(kept))
+    name = lambda r, s: f"{kept}_{r}_{s}"
+    before = dict.fromkeys(SEEDS, kept)
+    for rate in RATES:
+        rows = rows.select("*", *[F.filter(before[s], functools.partial(_in_subset, rate, s)).alias(name(rate, s)) for s in SEEDS])
+        before = {s: name(rate, s) for s in SEEDS}
+    hashes = [F.when(F.size(name(r, s)) > 0, F.xxhash64(F.col(name(r, s)), F.lit(r)).bitwiseAND(F.lit(0xFFFFFFFF))) for r in RATES for s in SEEDS]
+    return rows.select(*rest, F.array(*hashes).alias(to))
 
 
 def least_hashes(found: Column) -> Column:
@@ -122,6 +135,8 @@ def fingerprints(texts: DataFrame, names: list[str], band: DataFrame, digest: st
 
     Terms of a document stay in its task: if texts is dealt by KEY, nothing is shuffled.
     """
+    # Terms of no subset add nothing to a fingerprint.
+    band = band.filter(functools.reduce(Column.__or__, [_in_subset(min(RATES), s, F.col("term")) for s in SEEDS]))
     band = table(band.union(band.sparkSession.range(1).select(F.lit(NO_TERM).cast("long"))), "imatch-lexicon")
     if band.count() <= broadcast_terms:
         band = F.broadcast(band)
@@ -141,7 +156,7 @@ def fingerprints(texts: DataFrame, names: list[str], band: DataFrame, digest: st
         aggs += [F.collect_set(F.when(own & (F.col("term") != NO_TERM), F.col("term"))).alias(f"in{i}"), F.max(F.when(own, F.col("terms"))).alias(f"terms{i}"), F.max(F.when(own, F.col("whole"))).alias(f"whole{i}")]
     out = rows.groupBy(*KEY).agg(*aggs)
     for i, c in enumerate(names):
-        out = out.withColumn(f"{c}_sig", subset_hashes(F.sort_array(f"in{i}")))
+        out = with_subset_hashes(out, f"in{i}", f"{c}_sig")
         # Where the subsets hold none of a text's terms, they say nothing of it either; only then is each term hashed for each subset.
         alone = F.when(F.size(f"terms{i}") > 0, least_hashes(F.col(f"terms{i}"))).otherwise(_bare(F.col(f"whole{i}")))
         out = out.withColumn(f"{c}_sig", F.when(F.exists(f"{c}_sig", lambda x: x.isNotNull()), F.col(f"{c}_sig")).otherwise(alone))

@@ -357,6 +357,17 @@ def test_imatch_hashes_all_terms_only_where_the_lexicon_has_none(spark):
     assert "array_min" in above and "array_min" not in below
 
 
+def test_imatch_seeks_a_subset_once_and_in_the_one_before(spark):
+    keyed = imatch.keyed(spark.createDataFrame([(1, "one two"), (2, "two three")], "doc_id long, text string"), "doc_id", "text")
+    out = imatch.fingerprints(keyed, ["text"], imatch.lexicon(keyed))
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        sought = re.findall(r"filter\((\w+)", out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[0])
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(sought) == len(imatch.RATES) * len(imatch.SEEDS) and sought.count("in0") == len(imatch.SEEDS)
+
+
 def test_no_python_in_the_fingerprint_plan(spark):
     plan = imatch.fingerprint_with_edits(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
