@@ -37,13 +37,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import table
-from lodestone.llm.spans import LOWER, Words, as_bytes, mix, pieces, trim, worker_cache
+from lodestone.llm.spans import LOWER, Words, as_bytes, mix, pieces, trim, word_span_hashes, worker_cache
 
 CLASSES, LEAVES, OWN = 64, 64, 32
 FAMILIES = 4
@@ -52,16 +53,21 @@ CLASS_ROWS, LEAF_ROWS = 1 << 13, 1 << 9
 KAPPA, ROUNDS, FINE = 4.0, 2, 12
 END = np.uint64(0x243F6A8885A308D3)
 START = np.uint64(0x13198A2E03707344)
-BATCH = 1024
+BATCH = 2048
 #: Least of what a softmax shares out, so that a logarithm stays finite.
 LEAST = np.float32(1e-37)
 CHUNK_BYTES = 8 << 20
-#: Bytes of training text of one task, that sends one array of sums, by the kind of sum; bytes of input for each range of token hashes.
-TASK_BYTES = {"seen": 64 << 20, "expected": 16 << 20}
+#: Bytes of training text of one task, that sends one array of sums; of as little as LEAST_BYTES where there would be fewer tasks than cores; bytes of input for each range of token hashes.
+TASK_BYTES, LEAST_BYTES = 64 << 20, 16 << 20
 RANGE_BYTES = 32 << 20
+#: Arrays that are added in a first step, by one task for each block and salt; most salts.
+FAN_IN, SALTS = 64, 64
 #: Cells of the sums that are sent and added together.
 BLOCK = 1 << 17
 CELLS = FAMILIES * (CLASS_ROWS * CLASSES + CLASSES * LEAF_ROWS * LEAVES)
+#: Bits of a cell in a double that holds two; tokens that may add to a row before it is full.
+LANE = 26
+FULL = 1 << LANE - FINE
 
 
 class Tokens:
@@ -75,7 +81,7 @@ class Tokens:
         self.bounds = words.bounds + np.arange(n + 1) * ended
         at = np.arange(len(words.text)) + words.text * ended
         self.hashes = np.full(len(at) + n * ended, END, np.uint64)
-        self.hashes[at] = words.hashes()
+        self.hashes[at] = word_span_hashes(low, words.starts, words.ends)
         self.classes = np.zeros(len(self.hashes), np.int64)
         if len(at):
             last = low[words.ends - 1].astype(np.int64)
@@ -127,7 +133,7 @@ class Model:
 
     def __init__(self, own: np.ndarray, own_leaf: np.ndarray, leaf_n: np.ndarray, leaf_v: np.ndarray):
         """own: sorted hashes of the tokens with a leaf of their own, and these leaves; tokens counted and distinct in each (class, leaf)."""
-        self.own, self.own_leaf, self.leaf_n, self.leaf_v = own, own_leaf, leaf_n, leaf_v
+        self.own, self.own_leaf, self.leaf_n, self.leaf_v = pd.Index(own, dtype=np.uint64), own_leaf, leaf_n, leaf_v
         share = np.maximum(np.where(np.arange(LEAVES) < OWN, leaf_n, leaf_n + leaf_v + 1.0), 1e-3)
         self.share, self.leaf_share = share.sum(1) / share.sum(), share / share.sum(1, keepdims=True)
         self.class_bias, self.leaf_bias = np.log(self.share).astype(np.float32), np.log(self.leaf_share).astype(np.float32)
@@ -137,17 +143,19 @@ class Model:
     def leaves(self, hashes: np.ndarray) -> np.ndarray:
         out = hashed_leaf(hashes)
         if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
-            out = np.where(self.own[at] == hashes, self.own_leaf[at], out)
+            at = self.own.get_indexer(hashes)
+            out = np.where(at >= 0, self.own_leaf[at], out)
         return out
 
     def scores(self, rows: list[np.ndarray], leaf_rows: list[np.ndarray], classes: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
         """What the softmaxes share out: of all classes, and of all leaves of each token's class. Weights are logarithms of quotients of counts, so that nothing overflows."""
-        x, y = self.class_bias + self.class_w[0, rows[0][part]], self.leaf_bias[classes[part]]
-        y += self.leaf_w[0, leaf_rows[0][part]]
-        for k in range(1, FAMILIES):
-            x += self.class_w[k, rows[k][part]]
-            y += self.leaf_w[k, leaf_rows[k][part]]
+        x = self.class_w[0].take(rows[0][part], axis=0)
+        y, more = self.leaf_bias.take(classes[part], axis=0), np.empty_like(x)
+        x += self.class_bias
+        for k in range(FAMILIES):
+            for z, w, row in ((x, self.class_w, rows), (y, self.leaf_w, leaf_rows)):
+                if k or z is y:
+                    z += w[k].take(row[k][part], axis=0, out=more, mode="clip")
         return np.exp(x, out=x), np.exp(y, out=y)
 
     def softmaxes(self, rows: list[np.ndarray], leaf_rows: list[np.ndarray], classes: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
@@ -159,14 +167,17 @@ class Model:
 
     def log10(self, tokens: Tokens, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each token; counts are the tokens' training counts."""
-        cls, leaf = tokens.classes, self.leaves(tokens.hashes)
-        out = np.where(leaf < OWN, 0.0, np.log((counts + 1) / (self.leaf_n[cls, leaf] + self.leaf_v[cls, leaf] + 1)))
-        rows, leaf_rows = rows_of(tokens.features(), cls)
+        order = by_class(tokens.classes)
+        cls, leaf = tokens.classes[order], self.leaves(tokens.hashes)[order]
+        part_of_leaf = np.where(leaf < OWN, 0.0, np.log((counts[order] + 1) / (self.leaf_n[cls, leaf] + self.leaf_v[cls, leaf] + 1)))
+        rows, leaf_rows = rows_of([f[order] for f in tokens.features()], cls)
         for i in range(0, len(cls), BATCH):
             part = slice(i, i + BATCH)
             x, y = self.scores(rows, leaf_rows, cls, part)
             at = np.arange(len(x))
-            out[part] += np.log(np.maximum(x[at, cls[part]], LEAST) / x.sum(1)) + np.log(np.maximum(y[at, leaf[part]], LEAST) / y.sum(1))
+            part_of_leaf[part] += np.log(np.maximum(x[at, cls[part]], LEAST) / x.sum(1)) + np.log(np.maximum(y[at, leaf[part]], LEAST) / y.sum(1))
+        out = np.empty(len(cls))
+        out[order] = part_of_leaf
         return out / np.log(10)
 
     def seen(self, tokens: Tokens, sums: np.ndarray) -> None:
@@ -178,18 +189,20 @@ class Model:
             for view, row, col, width in ((class_sums[k], rows[k], cls, CLASSES), (leaf_sums[k], leaf_rows[k], leaf, LEAVES)):
                 np.add.at(view.reshape(-1), row * width + col, 1)
 
-    def expected(self, tokens: Tokens, sums: np.ndarray) -> None:
-        """Adds what the model expects with each feature to the flat sums, in units of 2 ** -FINE."""
-        cls = tokens.classes
-        rows, leaf_rows = rows_of(tokens.features(), cls)
-        class_sums, leaf_sums = views(sums)
+    def expected(self, tokens: Tokens, sums: np.ndarray, lanes: Lanes | None = None) -> None:
+        """Adds what the model expects with each feature to the flat sums, in units of 2 ** -FINE; with lanes, by their next flush()."""
+        held = lanes or Lanes(sums)
+        order = by_class(tokens.classes)
+        cls = tokens.classes[order]
+        rows, leaf_rows = rows_of([f[order] for f in tokens.features()], cls)
         for i in range(0, len(cls), BATCH):
             part = slice(i, i + BATCH)
             both = self.softmaxes(rows, leaf_rows, cls, part)
-            x, y = (np.rint(z * np.float32(1 << FINE)).astype(np.int32) for z in both)
-            for k in range(FAMILIES):
-                _add(class_sums[k], rows[k][part], x)
-                _add(leaf_sums[k], leaf_rows[k][part], y)
+            for z, half, own in zip(both, held.halves, (rows, leaf_rows), strict=True):
+                z *= np.float32(1 << FINE)
+                half.add(np.rint(z, out=z), [r[part] for r in own])
+        if lanes is None:
+            held.flush()
 
     def update(self, start: int, seen: np.ndarray, expected: np.ndarray | None) -> None:
         """A round's step on the weights from cell `start` on; no expectations stand for those of zero weights."""
@@ -220,12 +233,66 @@ def views(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums[:cut].reshape(FAMILIES, CLASS_ROWS, CLASSES), sums[cut:].reshape(FAMILIES, CLASSES * LEAF_ROWS, LEAVES)
 
 
-def _add(sums: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds the integers of each row; a sort by row makes one addition a row."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    rows = rows[order]
-    at = np.flatnonzero(np.diff(rows, prepend=-1))
-    sums[rows[at]] += np.add.reduceat(values[order], at, axis=0)
+def by_class(classes: np.ndarray) -> np.ndarray:
+    """Places of tokens by class: the leaf rows of one class stay in cache."""
+    return np.argsort(classes.astype(np.uint8), kind="stable")
+
+
+class Half:
+    """Sums of whole numbers up to 2 ** FINE, by family and row, for one level of the softmax.
+
+    Columns k and k + width / 2 share a double, and two of these a complex number, which numpy adds at once. Whatever is
+    added, a cell stays under 2 ** LANE, as no row takes FULL tokens before its sums move on.
+    """
+
+    def __init__(self, target: np.ndarray):
+        """target: the whole sums, by family, row and column."""
+        self.target = target
+        _, self.n_rows, self.width = target.shape
+        self.held = np.zeros((FAMILIES, target[0].size // 4), np.complex128)
+        self.taken = np.zeros((FAMILIES, self.n_rows), np.int64)
+        self.most = 0
+        self.places = np.arange(target[0].size // 4).reshape(self.n_rows, -1)
+        self.at = np.empty((BATCH, self.width // 4), np.int64)
+
+    def add(self, values: np.ndarray, rows: list[np.ndarray]) -> None:
+        """Adds each token's values to its row in each family; a call brings BATCH tokens at most."""
+        if self.most + len(values) >= FULL:
+            self.most = int(self.taken.max())
+            if self.most + len(values) >= FULL:
+                self.flush(FULL // 2)
+                self.most = int(self.taken.max())
+        self.most += len(values)
+        half = self.width // 2
+        pairs = np.multiply(values[:, half:], float(1 << LANE), dtype=np.float64)
+        pairs += values[:, :half]
+        pairs = pairs.view(np.complex128).ravel()
+        at = self.at[: len(values)]
+        for held, taken, own in zip(self.held, self.taken, rows, strict=True):
+            np.add.at(taken, own, 1)
+            self.places.take(own, axis=0, out=at, mode="clip")
+            np.add.at(held, at.ravel(), pairs)
+
+    def flush(self, least: int = 1) -> None:
+        """Moves what is held in rows of so many tokens to the target."""
+        half = self.width // 2
+        for target, held, taken in zip(self.target, self.held, self.taken, strict=True):
+            own, pairs = np.flatnonzero(taken >= least), held.view(np.float64).reshape(self.n_rows, half)
+            both = pairs[own].astype(np.int64)
+            target[own, :half] += both & ((1 << LANE) - 1)
+            target[own, half:] += both >> LANE
+            pairs[own], taken[own] = 0, 0
+
+
+class Lanes:
+    """Both halves of the flat sums."""
+
+    def __init__(self, sums: np.ndarray):
+        self.halves = [Half(x) for x in views(sums)]
+
+    def flush(self) -> None:
+        for half in self.halves:
+            half.flush()
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -297,17 +364,23 @@ def _distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for i, _, k in tokens_of(data, offsets):
             if len(k.hashes):
                 weight = np.repeat(learn[a + i : a + i + len(k.bounds) - 1], np.diff(k.bounds))
-                u, first, inverse = np.unique(k.hashes, return_index=True, return_inverse=True)
-                held.append((u, k.classes[first], np.bincount(inverse, weight, len(u)).astype(np.int64)))
+                held.append(_tally(k.hashes, k.classes, weight))
                 if len(held) > 16:
                     held[:] = [_merged(held)]
     return _merged(held)
 
 
 def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, s, c = (np.concatenate(x) for x in zip(*held, strict=True))
-    u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return u, s[first], np.bincount(inverse, c, len(u)).astype(np.int64)
+    return _tally(*(np.concatenate(x) for x in zip(*held, strict=True))) if len(held) > 1 else held[0]
+
+
+def _tally(hashes: np.ndarray, classes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, their classes, and their weights' sums."""
+    at, u = pd.factorize(hashes)
+    own = np.empty(len(u), np.int64)
+    own[at] = classes
+    order = np.argsort(u)
+    return u[order], own[order], np.bincount(at, weights, len(u)).astype(np.int64)[order]
 
 
 def _cuts(h: np.ndarray, range_bits: int) -> np.ndarray:
@@ -409,9 +482,16 @@ def start(counts: DataFrame) -> Model:
     return Model(h[order], leaf[order], n, v)
 
 
+def tasks(size: int, cores: int) -> int:
+    """Tasks of a sum over so many bytes."""
+    return max(1, -(-size // TASK_BYTES), min(cores, -(-size // LEAST_BYTES)))
+
+
 def _sums(chunks: DataFrame, model: Model, step: str) -> dict[int, bytes]:
     """Packed sums over all tokens of the chunks' rows, by the first cell of their block."""
-    n_tasks = max(1, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES[step]))
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    n_tasks = tasks(size, chunks.sparkSession.sparkContext.defaultParallelism)
+    n_salts = min(SALTS, -(-n_tasks // FAN_IN))
     held = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,11 +499,15 @@ def _sums(chunks: DataFrame, model: Model, step: str) -> dict[int, bytes]:
 
         worker_cache("maxent_lm")
         sums = np.zeros(CELLS, np.int64)
+        lanes = [Lanes(sums)] if step == "expected" else []
         for batch in parts:
             for _, _, data, offsets in _texts(batch["packed"]):
                 for _, _, t in tokens_of(data, offsets):
-                    getattr(held.value, step)(t, sums)
-        salt = TaskContext.get().partitionId() % 64
+                    getattr(held.value, step)(t, sums, *lanes)
+        for x in lanes:
+            x.flush()
+        del lanes
+        salt = TaskContext.get().partitionId() % n_salts
         for k in range(0, CELLS, BLOCK):
             part = sums[k : k + BLOCK]
             if part.any():
@@ -476,10 +560,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         m = model.value
         h, first = np.unique(np.concatenate([unpack_sorted(x.as_py()) for x in right["h"]]), return_index=True)
         c = np.concatenate([unpack(x.as_py()) for x in right["counts"]]).astype(np.int64)[first]
+        places = pd.Index(h)
         out = np.zeros((4, len(left)))
         for a, _, data, offsets in _texts(left["packed"]):
             for i, _, t in tokens_of(data, offsets):
-                own = c[np.searchsorted(h, t.hashes)]
+                own = c[places.get_indexer(t.hashes)]
                 sums = (np.ones(len(own)), own > 0, np.log10((own + 1) / (n_train + n_distinct + 1)), m.log10(t, own))
                 n = np.diff(t.bounds)
                 full = np.flatnonzero(n)

@@ -202,6 +202,22 @@ def inverse_powers(n: int) -> np.ndarray:
     return _INVERSE[:n]
 
 
+def word_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int = 1 << 15, limit: int = 1 << 20) -> np.ndarray:
+    """The same as span_hashes, from prefix sums of all bytes between the spans: faster where spans take up most of them."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(0, len(starts), words):
+        part = slice(i, i + words)
+        lo, hi = int(starts[i]), int(ends[part][-1])
+        if hi - lo > limit:
+            out[part] = span_hashes(data, starts[part], ends[part])
+            continue
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_RANDOM[data[lo:hi]] * powers(hi - lo), out=sums[1:])
+        a, b = starts[part] - lo, ends[part] - lo
+        out[part] = mix((sums[b] - sums[a]) * inverse_powers(hi - lo)[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
 class Rolling:
     """Hashes of spans of one width anywhere in a byte array, from prefix sums modulo 2**64; equal spans of any arrays hash alike."""
 

@@ -271,6 +271,37 @@ def test_sums_by_brute_force_and_in_pieces(monkeypatch):
     assert np.abs(maxent_lm.views(sums)[1][3] / 2**maxent_lm.FINE - want).max() < 0.05
 
 
+def test_expectations_by_brute_force_where_rows_are_hot():
+    # Rows take more tokens than a lane holds, and the largest probability each.
+    draw, n = np.random.default_rng(1), maxent_lm.FULL + 5000
+    target = np.zeros((maxent_lm.FAMILIES, 16, 64), np.int64)
+    half, want = maxent_lm.Half(target), np.zeros_like(target)
+    values = draw.integers(0, 9, (n, 64)).astype(np.float32)
+    values[:, [0, 31, 32, 63]] = 1 << maxent_lm.FINE
+    rows = [draw.integers(0, k + 1, n) for k in range(maxent_lm.FAMILIES)]
+    for i in range(0, n, maxent_lm.BATCH):
+        part = slice(i, i + maxent_lm.BATCH)
+        half.add(values[part], [r[part] for r in rows])
+    half.flush()
+    for k, own in enumerate(rows):
+        np.add.at(want[k], own, values.astype(np.int64))
+    assert (target == want).all()
+
+
+def test_few_tasks_send_sums_of_many_texts():
+    # Each task sends an array of the weights' size, so that small tasks would send more than they read.
+    assert maxent_lm.tasks(0, 8) == 1 and maxent_lm.tasks(100 << 20, 6) == 6 and maxent_lm.tasks(20 << 20, 6) == 2
+    assert maxent_lm.tasks(1 << 30, 6) == 16 and maxent_lm.tasks(44 << 30, 8) == 704
+
+
+def test_hashes_from_prefix_sums_are_those_of_spans():
+    data, offsets = as_bytes(pa.array(["a bb  ccc " * 50, "", " x", "y" * 400 + " z"], pa.string()))
+    words = spans.Words(data, offsets)
+    for n, limit in ((3, 1 << 20), (1000, 1 << 20), (7, 100)):
+        assert (spans.word_span_hashes(data, words.starts, words.ends, n, limit) == words.hashes()).all()
+    assert not len(spans.word_span_hashes(data, words.starts[:0], words.ends[:0]))
+
+
 # Fingerprints
 
 
