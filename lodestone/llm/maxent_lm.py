@@ -57,6 +57,8 @@ BATCH = 2048
 #: Least of what a softmax shares out, so that a logarithm stays finite.
 LEAST = np.float32(1e-37)
 CHUNK_BYTES = 8 << 20
+#: Distinct tokens of a chunk that get a hash table; more, those of a long text, are sought in order, without its memory.
+MOST_HASHED = 1 << 21
 #: Bytes of training text of one task, that sends one array of sums; of as little as LEAST_BYTES where there would be fewer tasks than cores; bytes of input for each range of token hashes.
 TASK_BYTES, LEAST_BYTES = 64 << 20, 16 << 20
 RANGE_BYTES = 32 << 20
@@ -560,11 +562,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         m = model.value
         h, first = np.unique(np.concatenate([unpack_sorted(x.as_py()) for x in right["h"]]), return_index=True)
         c = np.concatenate([unpack(x.as_py()) for x in right["counts"]]).astype(np.int64)[first]
-        places = pd.Index(h)
+        places = pd.Index(h) if len(h) <= MOST_HASHED else None
         out = np.zeros((4, len(left)))
         for a, _, data, offsets in _texts(left["packed"]):
             for i, _, t in tokens_of(data, offsets):
-                own = c[places.get_indexer(t.hashes)]
+                own = c[np.searchsorted(h, t.hashes) if places is None else places.get_indexer(t.hashes)]
                 sums = (np.ones(len(own)), own > 0, np.log10((own + 1) / (n_train + n_distinct + 1)), m.log10(t, own))
                 n = np.diff(t.bounds)
                 full = np.flatnonzero(n)

@@ -216,6 +216,13 @@ def test_every_round_goes_over_all_training_texts(spark, monkeypatch):
     assert [k for _, k in seen] == [n] * len(seen) and [x for x, _ in seen].count("expected") == 2
 
 
+def test_tokens_of_long_texts_are_sought_without_a_table(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(40)], "doc_id long, text string")
+    want = sorted(maxent_lm.score_texts(docs).collect())
+    monkeypatch.setattr(maxent_lm, "MOST_HASHED", 0)
+    assert sorted(maxent_lm.score_texts(docs).collect()) == want
+
+
 def test_context_tells_words_of_one_class_apart(spark):
     texts = ["the big cat sat", "a small rat ran"] * 200 + ["the big rat sat"] * 2
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
