@@ -159,6 +159,23 @@ def test_distances_and_correlation(spark):
     assert points.eps_steps(3) == pytest.approx([0.001, 0.026, 0.051])
 
 
+def test_distances_by_blocks(spark):
+    at = [(i * 37 % 11 / 7, i * 53 % 13 / 3) for i in range(45)] + [(0.0, 0.0)] * 3 + [(None, 1.0), (2.0, None), (None, None), (float("nan"), 0.0)]
+    df = spark.createDataFrame(at, "x1 double, x2 double").repartition(3)
+    dist = lambda p, d: None if None in p + d else math.sqrt((p[0] - d[0]) * (p[0] - d[0]) + (p[1] - d[1]) * (p[1] - d[1]))
+    expected = sorted(repr((*p, *d, dist(p, d))) for p in at for d in at)
+    for block, run in ((512, 16), (7, 3), (1, 1), (4, 9)):
+        assert sorted(repr(tuple(r)) for r in points.pairwise_distances(df, block=block, run=run).collect()) == expected
+    assert points.pairwise_distances(df.limit(0)).count() == 0
+
+
+def test_distances_take_less_than_their_doubles_on_disk(spark, tmp_path):
+    df = spark.range(1500).select(F.rand(1).alias("x1"), F.rand(2).alias("x2")).coalesce(2)
+    points.pairwise_distances(df).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1500**2
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 7 * 1500**2
+
+
 def test_tree_of_six_points():
     ids, at = ["p1", "p2", "p3", "p4", "p5", "p6"], [(7, 2), (9, 6), (8, 1), (5, 4), (4, 7), (2, 3)]
     got = {n[0]: n[1:5] for n in points.build_tree(ids, at)}
